@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import pieces, quality
 
-MODULES = [quality]
+MODULES = [quality, pieces]
 
 
 def queries() -> dict:
