@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import pieces, quality
+from . import pieces, quality, tokens
 
-MODULES = [quality, pieces]
+MODULES = [quality, pieces, tokens]
 
 
 def queries() -> dict:
