@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import pieces, quality, tokens
+from . import pieces, quality, secrets, tokens
 
-MODULES = [quality, pieces, tokens]
+MODULES = [quality, secrets, pieces, tokens]
 
 
 def queries() -> dict:
