@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import pieces, quality, secrets, tokens
+from . import lines, mixing, pieces, quality, secrets, tokens
 
-MODULES = [quality, secrets, pieces, tokens]
+MODULES = [quality, secrets, lines, mixing, pieces, tokens]
 
 
 def queries() -> dict:
