@@ -68,3 +68,14 @@ def test_round_trip_and_empty(spark):
 def test_span_pieces_are_refused(tmp_path):
     with pytest.raises(Exception):
         pieces.PieceModel(str(tmp_path / "none.model"))
+
+
+def test_batches_cut_by_size():
+    from shelfwise.llm.common import slices
+
+    texts = [f"é{'ü' * (i % 50)} word{i} and  more" for i in range(500)] + [None, ""]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    parts = list(slices(iter([batch]), "text", 700))
+    assert len(parts) > 20
+    got = [ids for p in parts for ids in pieces.load(MODEL).encode_batch(p.column(1)).lists()]
+    assert got == [expected(t)[0] for t in texts]
