@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, pieces, quality, secrets, tokens
+from . import lines, mixing, pieces, quality, secrets, tokens, vectors
 
-MODULES = [quality, secrets, lines, mixing, pieces, tokens]
+MODULES = [quality, secrets, lines, mixing, vectors, pieces, tokens]
 
 
 def queries() -> dict:
