@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import language, lines, mixing, pieces, quality, secrets, tokens, toxicity, vectors
+from . import language, lines, mixing, ngrams, pieces, quality, secrets, tokens, toxicity, vectors
 
-MODULES = [quality, secrets, lines, mixing, vectors, pieces, tokens, language, toxicity]
+MODULES = [quality, secrets, lines, ngrams, mixing, vectors, pieces, tokens, language, toxicity]
 
 
 def queries() -> dict:
