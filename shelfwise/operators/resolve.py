@@ -76,9 +76,9 @@ def lookalike_groups(rows: DataFrame, key: str, bits: str, distance: int, same:
     close = lookalike_pairs(rows, key, bits, distance)
     if same is None:  # rows of one hash are look-alikes by themselves; only hashes need connecting
         first = rows.filter(F.col(bits).isNotNull() & ~S.matches_anything(F.col(bits), distance)).groupBy(F.col(bits).alias("h")).agg(F.min(key).alias("lead"))
-        lead = first.select(F.col("h").alias("h2"), F.col("lead").alias("lead2"))
-        edges = close.join(first, "h").join(lead, "h2").select(F.col("lead").alias("a"), F.col("lead2").alias("b"))
-        own = rows.join(first, F.col(bits) == F.col("h")).select(F.col("lead").alias("a"), F.col(key).alias("b"))
+        one, two = first.toDF("h", "lead1"), first.toDF("h2", "lead2")
+        edges = close.join(one, "h").join(two, "h2").select(F.col("lead1").alias("a"), F.col("lead2").alias("b"))
+        own = rows.select(F.col(bits).alias("h"), F.col(key).alias("b")).join(one, "h").select(F.col("lead1").alias("a"), "b")
         return connected(edges.unionByName(own)).select(F.col("node").alias("key"), F.col("label").alias("group"))
     a = rows.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns])
     b = rows.select(*[F.col(c).alias(f"b_{c}") for c in rows.columns])
