@@ -92,10 +92,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     return out.select(*docs.columns)
 
 
-def lines_sql(table: str, sites: int = SITES, min_words: int = MIN_WORDS) -> str:
+def lines_sql(table: str, sites: int = SITES, min_words: int = MIN_WORDS, columns: str = "doc_id, text, lang, source") -> str:
     """Common table expressions up to ``rebuilt`` (rid, n_lines, n_removed, kept)."""
     return f"""
-    l_docs as (select row_number() over () as rid, * from {table}),
+    l_docs as (select row_number() over () as rid, {columns} from {table}),
     l_raw as (select rid, doc_id, source, unnest(string_split(text, chr(10))) as raw, unnest(range(0, len(string_split(text, chr(10))))) as no from l_docs where text is not null),
     l_all as (select *, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) as line from l_raw),
     l_long as (select * from l_all where len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= {min_words}),

@@ -167,11 +167,11 @@ def _sql_fences(name: str, by: str) -> str:
           select {cols}measure, bucket, sum(n) as n from sketch group by {cols}measure, bucket)) group by {cols}measure) {'group by ' + by if by else ''})"""
 
 
-def counts_sql(table: str) -> str:
-    """Common table expressions up to ``verdict`` (the columns of ``table``, the counts and kept)."""
+def counts_sql(table: str, columns: str = "doc_id, text, lang, source") -> str:
+    """Common table expressions up to ``verdict`` (the columns named, the counts and kept)."""
     ws = r"[\x20\x09-\x0D]"
     own = f"""
-    numbered as (select row_number() over () as rid, * from {table}),
+    numbered as (select row_number() over () as rid, {columns} from {table}),
     w as (select rid, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from numbered),
     win as (select rid, unnest(range(1, len(ws) - 1)) as i, ws from w where len(ws) >= 3),
     gram as (select rid, i, count(*) over (partition by rid, ws[i], ws[i + 1], ws[i + 2]) as c from win),

@@ -15,8 +15,8 @@ def brute(path):
     c = duckdb.connect()
     c.execute(f"create table documents as select {', '.join(COLUMNS)} from read_parquet('{path}')")
     own = ", ".join(COLUMNS)
-    c.execute(f"create table a as with {quality.counts_sql('documents')} select {own} from verdict where kept")
-    c.execute(f"create table b as with {lines.lines_sql('a')} select doc_id, case when text is null then null else coalesce(kept, '') end as text, lang, source, length(coalesce(kept, '')) as n_chars from l_docs left join rebuilt using (rid)")
+    c.execute(f"create table a as with {quality.counts_sql('documents', own)} select {own} from verdict where kept")
+    c.execute(f"create table b as with {lines.lines_sql('a', columns=own)} select doc_id, case when text is null then null else coalesce(kept, '') end as text, lang, source, length(coalesce(kept, '')) as n_chars from l_docs left join rebuilt using (rid)")
     c.execute(f"""create table d as with recursive r as (select row_number() over () as rid, * from b), {ngrams.pairs_sql('b')}
         select {', '.join('r.' + x for x in COLUMNS)} from r join jac using (rid) where n_shingles = 0 or r.doc_id = component_id""")
     c.execute(f"create table e as with {mixing.mix_sql('d')}, r as (select row_number() over () as mid, * from d) select r.doc_id, r.text, unnest(range(0, epochs)) from r join mixed using (mid)")
