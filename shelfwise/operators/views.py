@@ -121,6 +121,10 @@ def view(catalog, name: str, argument=None) -> DataFrame:
     if name == "person":
         ids = person_items(catalog["detected_faces"], catalog["faces"], catalog["person_contacts"], str(argument))
         return items.join(ids.withColumnRenamed("item_id", "id"), "id", "left_semi")
+    if name == "search":
+        from ..plans.library_search import search_items
+
+        return search_items(catalog, str(argument or ""))
     raise ValueError(f"no view {name!r}; views are {VIEWS}")
 
 
