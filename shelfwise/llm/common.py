@@ -6,6 +6,7 @@ share; an executor that is lost takes nothing with it.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,7 +40,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: computed once, and its lineage ends there."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._shelfwise_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing will read again, and let Spark drop the shuffles behind them."""
+    sc = tables[0].sparkSession.sparkContext
+    for t in tables:
+        path = sc._jvm.org.apache.hadoop.fs.Path(t._shelfwise_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    sc._jvm.System.gc()  # shuffle files go when their plans are collected
 
 
 def join_lookup(big: DataFrame, small: DataFrame, keys: list[tuple[str, str]], limit_rows: int = 50_000, salts: int = 32) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, release, slices
 from .graph import components
 
 WORDS, PERCENT = 5, 75
@@ -227,7 +227,9 @@ def _candidates(index: DataFrame) -> DataFrame:
     tied = index.filter("hot").select("token", "sid", F.explode(F.array(band, band + 1)).alias("band"))
     lead = tied.groupBy("token", "band").agg(F.min("sid").alias("lead"))
     ties = tied.join(lead, ["token", "band"]).filter("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct()
-    return materialize(met.unionByName(ties), "shingle-candidates")
+    out = materialize(met.unionByName(ties), "shingle-candidates")
+    release(index)
+    return out
 
 
 class Classes:
@@ -429,9 +431,11 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     each = digests.filter("token is null").select("doc_id", "th", "n", "s1", "s2")
     reps = each.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "th")).alias("rep"), F.max("n").alias("n"))
     reps = materialize(reps, "shingle-sets")
-    comps = components(_candidates(_index(docs, _frequent(digests))))
+    ties = _candidates(_index(docs, _frequent(digests)))
+    comps = components(ties)
     cands = reps.join(comps, reps["s1"] == comps["node"]).select("s1", "s2", "low", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th"), "n", F.col("component").alias("comp"))
     cands = materialize(cands, "shingle-members")
+    release(ties)
     parts = cands.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     cands = cands.join(parts, "comp")
     held = materialize(_with_sets(docs, cands), "shingle-blocks")
@@ -442,6 +446,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     found = found.select(F.col("s1").alias("f1"), F.col("s2").alias("f2"), F.col("low").alias("found"))
     final = reps.join(found, (reps["s1"] == found["f1"]) & (reps["s2"] == found["f2"]), "left")
     final = materialize(final.select(F.col("s1").alias("r1"), F.col("s2").alias("r2"), F.coalesce("found", "low").alias("component_id")), "shingle-classes")
+    release(held, reps)
     out = each.join(final, (each["s1"] == final["r1"]) & (each["s2"] == final["r2"]), "left")
     return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 

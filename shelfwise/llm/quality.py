@@ -55,13 +55,13 @@ def measured(docs: DataFrame, text: str = "text", prefix: str = PREFIX) -> DataF
         F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
     )
-    c = {k: prefix + k for k in ("w", "l", "c")}
-    df = docs.withColumns({c["w"]: word_stats, c["l"]: line_stats, c["c"]: counts})
+    # A generator of one row: no filter or projection above can repeat what it computes.
+    m = F.col(f"{prefix}m")
+    df = docs.select("*", F.explode(F.array(F.struct(word_stats.alias("w"), line_stats.alias("l"), counts.alias("c")))).alias(f"{prefix}m"))
     df = df.withColumns({
-        f"{prefix}n_words": F.col(c["w"])["n_words"], f"{prefix}n_repeat_words": F.col(c["w"])["n_repeat_words"],
-        f"{prefix}n_lines": F.col(c["l"])["n_lines"], f"{prefix}n_dup_lines": F.col(c["l"])["n_dup_lines"],
-        f"{prefix}word_chars": F.col(c["c"])["word_chars"], f"{prefix}n_symbols": F.col(c["c"])["n_symbols"],
-    }).drop(*c.values())
+        f"{prefix}n_words": m["w"]["n_words"], f"{prefix}n_repeat_words": m["w"]["n_repeat_words"], f"{prefix}n_lines": m["l"]["n_lines"],
+        f"{prefix}n_dup_lines": m["l"]["n_dup_lines"], f"{prefix}word_chars": m["c"]["word_chars"], f"{prefix}n_symbols": m["c"]["n_symbols"],
+    }).drop(f"{prefix}m")
     return df.withColumn(f"{prefix}base_failed", (F.col(f"{prefix}n_words") < 50) | (100 * F.col(f"{prefix}n_repeat_words") > 50 * F.col(f"{prefix}n_words")))
 
 
@@ -122,8 +122,11 @@ def thresholds(sketch: DataFrame, min_docs: int = 30) -> DataFrame:
 
 
 def judge(docs: DataFrame, text: str = "text", groups: tuple[str, str] = ("lang", "source"), min_docs: int = 30, prefix: str = PREFIX) -> DataFrame:
-    """``docs`` (written once with its counts) plus ``prefix``-ed counts, ``base_failed`` and ``kept``."""
-    table = materialize(measured(docs, text, prefix), "quality-counts")
+    """``docs`` plus ``prefix``-ed counts, ``base_failed`` and ``kept``.
+
+    Texts are counted twice, once for the sketches and once beside their verdict, instead of being written or shuffled.
+    """
+    table = measured(docs, text, prefix)
     return verdicts(table, groups, min_docs, prefix)
 
 
