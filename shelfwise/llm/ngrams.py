@@ -38,9 +38,10 @@ from .common import materialize, release, slices
 from .graph import components
 
 WORDS, PERCENT = 5, 75
-HOT_MOST, HOT_LEAST, HOT_LOCAL, RUN_TOKENS = 200_000, 32, 3, 4_000_000
+HOT_MOST, HOT_LEAST, HOT_LOCAL, RUN_TOKENS = 200_000, 32, 3, 2_000_000
 EXTRA, GROUP = 8, 64
-BLOCK, PIVOTS, FAN, BUCKET_TOKENS = 1024, 4, 4, 4_000_000
+BLOCK, PIVOTS, FAN, PARENTS, BUCKET_TOKENS = 1024, 4, 4, 4096, 1_000_000
+BATCH_BYTES = 3_000_000
 U = np.uint64
 
 
@@ -109,7 +110,7 @@ def _digests(docs: DataFrame) -> DataFrame:
             none = pa.nulls(len(token), pa.int64())
             return pa.record_batch([pa.nulls(len(token), kind), none, none, none, none, pa.array(token), pa.array(c)], names=names)
 
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", BATCH_BYTES):
             kind, sets = b.column(0).type, shingles(b.column(2))
             s = [digest(x) if len(x) else (None, None) for x in sets]
             for x, k in zip(sets, s, strict=True):
@@ -152,7 +153,7 @@ def _index(docs: DataFrame, hot: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", BATCH_BYTES):
             token, is_hot, sid, size = [], [], [], []
             for x in shingles(b.column(0)):
                 if len(x) and (k := digest(x)) not in seen:
@@ -278,7 +279,7 @@ class SignatureTree:
         fits = (100 * hi[x] >= PERCENT * lo[y]) & (100 * hi[y] >= PERCENT * lo[x])
         out = np.zeros(len(x), bool)
         at = np.flatnonzero(fits)
-        for part in np.array_split(at, max(1, len(at) // 20_000)):
+        for part in np.array_split(at, max(1, len(at) // 4_000)):
             both = np.bitwise_count(m[x[part]] & m[y[part]]).sum(axis=1).astype(np.int64)
             most = np.minimum(np.minimum(both + np.minimum(sl[x[part]], sl[y[part]]), hi[x[part]]), hi[y[part]])
             out[part] = (100 + PERCENT) * most >= PERCENT * (lo[x[part]] + lo[y[part]])
@@ -298,22 +299,31 @@ class SignatureTree:
             for k in range(n - 1):  # neighbours in the sorted order are the likeliest links
                 same.check(classes, k, k + 1)
         x = y = np.zeros(1, np.int64)
-        for level in range(len(self.levels) - 1, -1, -1):
+        top = len(self.levels) - 1
+        for level in range(top, -1, -1):
+            count, kept = len(self.levels[level][1]), []
+            some = np.ones(count, bool) if wanted is None else np.maximum.reduceat(wanted, np.arange(0, n, FAN**level))
             label = self.one_class(level, classes.labels())
-            open_ = ~((label[x] >= 0) & (label[x] == label[y])) & self.may_link(level, x, y)
-            if wanted is not None:
-                some = np.maximum.reduceat(wanted, np.arange(0, n, FAN**level))
-                open_ &= some[x] | some[y]
-            x, y = x[open_], y[open_]
+            for lo in range(0, len(x), PARENTS):  # a part of the pairs of parents at a time: memory holds what survives
+                px, py = x[lo : lo + PARENTS], y[lo : lo + PARENTS]
+                if level < top:
+                    i, j = np.divmod(np.arange(FAN * FAN), FAN)
+                    px, py = (px[:, None] * FAN + i).ravel(), (py[:, None] * FAN + j).ravel()
+                    good = (px < count) & (py < count) & (px <= py)
+                    px, py = px[good], py[good]
+                if not level:
+                    label = classes.labels()
+                open_ = ~((label[px] >= 0) & (label[px] == label[py])) & (some[px] | some[py])
+                px, py = px[open_], py[open_]
+                good = self.may_link(level, px, py)
+                if level:
+                    kept.append((px[good], py[good]))
+                    continue
+                for a, b in zip(px[good].tolist(), py[good].tolist(), strict=True):
+                    if a != b:
+                        same.check(classes, a, b)
             if level:
-                count = len(self.levels[level - 1][1])
-                i, j = np.divmod(np.arange(FAN * FAN), FAN)
-                cx, cy = (x[:, None] * FAN + i).ravel(), (y[:, None] * FAN + j).ravel()
-                good = (cx < count) & (cy < count) & (cx <= cy)
-                x, y = cx[good], cy[good]
-        for a, b in zip(x.tolist(), y.tolist(), strict=True):
-            if a != b:
-                same.check(classes, a, b)
+                x, y = (np.concatenate([k[side] for k in kept]) if kept else np.zeros(0, np.int64) for side in (0, 1))
 
 
 class Marks:
@@ -354,7 +364,7 @@ def _with_sets(docs: DataFrame, cands: DataFrame) -> DataFrame:
     j = own.join(cands, own["d"].eqNullSafe(cands["rep_id"]) & (own["h"] == cands["rep_th"])).select("text", "comp", "parts", "s1", "s2", "low").dropDuplicates(["s1", "s2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", BATCH_BYTES):
             yield pa.record_batch([*b.columns[1:], pa.array([x.tobytes() for x in shingles(b.column(0))], pa.binary())], names=["comp", "parts", "s1", "s2", "low", "tokens"])
 
     return j.mapInArrow(run, f"comp long, parts long, s1 long, s2 long, low {docs.schema['doc_id'].dataType.simpleString()}, tokens binary")
