@@ -64,11 +64,30 @@ def choose(rows: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
     return [r.f for r in best.orderBy(F.desc("gain"), "f").limit(FEATURES).collect()]
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int = GRADES, steps: int = 1500, penalty: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+class Sparse:
+    """A matrix of few non-zero entries."""
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, value: np.ndarray, shape: tuple[int, int]):
+        self.row, self.col, self.value, self.shape = row, col, value.astype(np.float64), shape
+
+    @classmethod
+    def of(cls, dense: np.ndarray) -> Sparse:
+        row, col = np.nonzero(dense)
+        return cls(row, col, dense[row, col], dense.shape)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.col], self.shape[0])
+
+    def turned_times(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, self.value * g[self.row], self.shape[1])
+
+
+def fit_ordinal(x: Sparse | np.ndarray, y: np.ndarray, grades: int = GRADES, steps: int = 1500, penalty: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Shared weights and ordered cuts by full-batch Adam on the log-likelihood; cuts stay ordered by positive gaps.
 
     Rows of grade 0 and rows above it weigh the same in all. No weight is negative: every feature was chosen for being
     more frequent in toxic rows."""
+    x = Sparse.of(x) if isinstance(x, np.ndarray) else x
     n, d = x.shape
     weigh = np.where(y > 0, n / (2 * max((y > 0).sum(), 1)), n / (2 * max((y == 0).sum(), 1)))
     params = np.concatenate([np.zeros(d), [1.0], np.full(grades - 2, 0.5)])
@@ -77,7 +96,7 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int = GRADES, steps: int =
     for t in range(1, steps + 1):
         w, gaps = params[:d], np.exp(params[d + 1 :])
         cuts = params[d] + np.r_[0.0, np.cumsum(gaps)]
-        score = x @ w
+        score = x.times(w)
         upper = np.where(y < grades - 1, sig(cuts[np.minimum(y, grades - 2)] - score), 1.0)
         lower = np.where(y > 0, sig(cuts[np.maximum(y - 1, 0)] - score), 0.0)
         p = np.maximum(upper - lower, 1e-9)
@@ -85,7 +104,7 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int = GRADES, steps: int =
         du[y == grades - 1], dl[y == 0] = 0.0, 0.0
         du, dl = du * weigh, dl * weigh
         g_cuts = np.array([(du * (y == k)).sum() - (dl * (y == k + 1)).sum() for k in range(grades - 1)]) / n
-        g = np.concatenate([-(x.T @ (du - dl)) / n - penalty * w, [g_cuts.sum()], [g_cuts[k + 1 :].sum() * gaps[k] for k in range(grades - 2)]])
+        g = np.concatenate([-x.turned_times(du - dl) / n - penalty * w, [g_cuts.sum()], [g_cuts[k + 1 :].sum() * gaps[k] for k in range(grades - 2)]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         params = params + 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         params[:d] = np.maximum(params[:d], 0.0)
@@ -126,13 +145,13 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Severity |
 
     # At most 4 * size rows of the few features they hold.
     got = sorted((bool(r.toxic), sorted(r.hits)) for r in rows.select("toxic", "words").mapInArrow(count, "toxic boolean, hits array<int>").collect())
-    x = np.zeros((len(got), len(names)), np.float32)
-    for k, (_, hits) in enumerate(got):
-        np.add.at(x[k], hits, 1)
     toxic = np.array([g[0] for g in got])
-    telling = x.sum(axis=1)
+    telling = np.array([len(g[1]) for g in got])
+    row = np.repeat(np.arange(len(got)), telling)
+    cell, times = np.unique(row * len(names) + np.array([h for g in got for h in g[1]], np.int64), return_counts=True)
+    x = Sparse(cell // len(names), cell % len(names), np.minimum(times, 20), (len(got), len(names)))
     y = np.where(toxic, np.where(telling > np.median(telling[toxic]), 2, 1), 0)
-    weights, cuts = fit_ordinal(np.minimum(x, 20), y)
+    weights, cuts = fit_ordinal(x, y)
     return Severity({f: float(w) for f, w in zip(names, weights, strict=True)}, cuts)
 
 
