@@ -24,6 +24,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,7 @@ class WordCoder:
     """
 
     _kept: dict[str, WordCoder] = {}
+    MARKS = (".", ",", "!", "?", ";", ":")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -76,22 +78,52 @@ class WordCoder:
         return cls._kept[path]
 
     def _learn(self, words: list[str]) -> None:
-        """Give each new word the next slot."""
-        n, at = len(self.slot), int(self.starts[len(self.slot)])
+        """Give each new word a slot.
+
+        ASCII letters with at most one mark behind them are two pieces to the tokenizer's pattern and lower-cased by its
+        normaliser, so such a word is put together from its bare form and the mark. A bare form passes the normaliser and
+        the pattern unchanged, so the library's model takes it directly; all else goes through the whole tokenizer.
+        """
+        whole, made = dict.fromkeys(["", *self.MARKS]), []
+        for w in words:
+            if w.isascii() and (w.isalpha() or (w[-1:] in self.MARKS and w[:-1].isalpha())):
+                mark = "" if w.isalpha() else w[-1]
+                bare = w[: len(w) - len(mark)].lower()
+                whole[bare] = None
+                if bare != w:
+                    made.append((w, bare, mark))
+            else:
+                whole[w] = None
+        fresh = [w for w in whole if w not in self.slot]
+        bare = [w for w in fresh if w.isascii() and w.isalpha() and w.islower()]
+        model = self.tokenizer.model
+        self._encode(bare, lambda some: [[t.id for t in model.tokenize(w)] for w in some])
+        rest = [w for w in fresh if not (w.isascii() and w.isalpha() and w.islower())]
+        self._encode(rest, lambda some: [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)])
+        made = [m for m in made if m[0] not in self.slot]
+        if made:
+            parts = np.fromiter((self.slot[x] for m in made for x in m[1:]), np.int64, 2 * len(made))
+            lengths = self.starts[parts + 1] - self.starts[parts]
+            at = np.cumsum(lengths) - lengths
+            flat = self.flat[np.repeat(self.starts[parts] - at, lengths) + np.arange(int(lengths.sum()))]
+            self._append([m[0] for m in made], flat, lengths[::2] + lengths[1::2])
+
+    def _encode(self, words: list[str], library) -> None:
         for lo in range(0, len(words), 20_000):
             some = words[lo : lo + 20_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            ids = library(some)
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            new = np.fromiter((x for i in ids for x in i), np.uint32, int(lengths.sum()))
-            while at + len(new) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while n + len(some) + 1 > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.flat[at : at + len(new)] = new
-            self.starts[n + 1 : n + len(some) + 1] = at + np.cumsum(lengths)
-            for k, w in enumerate(some):
-                self.slot[w] = n + k
-            n, at = n + len(some), at + len(new)
+            self._append(some, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths)
+
+    def _append(self, words: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
+        n, at = len(self.slot), int(self.starts[len(self.slot)])
+        while at + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + len(words) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.flat[at : at + len(flat)] = flat
+        self.starts[n + 1 : n + len(words) + 1] = at + np.cumsum(lengths)
+        self.slot.update(zip(words, range(n, n + len(words)), strict=True))
 
     def encode_batch(self, texts: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids, each text's followed by the end id, and the offsets of the texts in them."""
