@@ -339,11 +339,8 @@ def _bits(spark, d):
 
 @query(f"with {_NEAR} select a, b, distance from c")
 def lookalike_pairs(spark, d):
-    rows = _bits(spark, d)
-    close = resolve.lookalike_pairs(rows, "vec_id", "h", 18)
-    a, b = rows.select(F.col("h").alias("ha"), F.col("vec_id").alias("va")), rows.select(F.col("h").alias("hb"), F.col("vec_id").alias("vb"))
-    j = close.join(a, F.col("h") == F.col("ha")).join(b, F.col("h2") == F.col("hb"))
-    return j.select(F.least("va", "vb").alias("a"), F.greatest("va", "vb").alias("b"), F.col("distance").cast("long").alias("distance"))
+    close = resolve.lookalike_pairs(_bits(spark, d).select("vec_id", "h"), "vec_id", "h", 18)
+    return close.select("a", "b", F.col("distance").cast("long").alias("distance"))
 
 
 @query(f"with recursive {_NEAR}, e as (select a, b from c union all select b, a from c), r as (select a as n, a as l from e union select e.b, r.l from r join e on r.n = e.a) select n as key, min(l) as \"group\" from r group by n")

@@ -54,18 +54,39 @@ def bands(bits: Column, distance: int, width: int = 64) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("band"), cut(edges[k], edges[k + 1]).alias("part")) for k in range(n) if edges[k + 1] > edges[k]])
 
 
-def lookalike_pairs(rows: DataFrame, key: str, bits: str, distance: int, confirm: Column | None = None) -> DataFrame:
-    """(a, b, distance) of rows whose hashes differ in at most ``distance`` bits, exact for every distance.
+def lookalike_hashes(rows: DataFrame, bits: str, distance: int) -> DataFrame:
+    """(h, h2, distance) of distinct hashes, h < h2, that differ in at most ``distance`` bits, exact for every distance.
 
-    Rows of one hash meet once per distinct hash: hashes are joined, not rows. Hashes that pair with anything stay out.
+    Hashes are joined, not rows. Hashes that pair with anything stay out; distance 0 pairs nothing.
     """
-    good = rows.filter(F.col(bits).isNotNull() & ~S.matches_anything(F.col(bits), distance)) if distance > 0 else rows.limit(0)
-    hashes = good.select(F.col(bits).alias("h")).distinct()
+    hashes = _good(rows, bits, distance).select(F.col(bits).alias("h")).distinct()
     keyed = hashes.select("h", F.explode(bands(F.col("h"), distance)).alias("k")).select("h", "k.band", "k.part")
     other = keyed.select(F.col("h").alias("h2"), "band", "part")
     close = keyed.join(other, ["band", "part"]).filter("h < h2").select("h", "h2").distinct()
-    close = close.withColumn("distance", S.hamming(F.col("h"), F.col("h2"))).filter(F.col("distance") <= distance)
-    return close
+    return close.withColumn("distance", S.hamming(F.col("h"), F.col("h2"))).filter(F.col("distance") <= distance)
+
+
+def _good(rows: DataFrame, bits: str, distance: int) -> DataFrame:
+    return rows.filter(F.col(bits).isNotNull() & ~S.matches_anything(F.col(bits), distance)) if distance > 0 else rows.limit(0)
+
+
+def lookalike_pairs(rows: DataFrame, key: str, bits: str, distance: int, confirm: Column | None = None) -> DataFrame:
+    """(a, b, distance), a < b: all pairs of rows whose hashes differ in at most ``distance`` bits, rows of one hash too.
+
+    Hashes that pair with anything stay out; distance 0 pairs nothing. ``confirm`` is a condition on columns of both rows,
+    prefixed ``a_`` and ``b_``, that must also hold. n rows of one hash are n * (n - 1) / 2 pairs: :func:`lookalike_groups`
+    says the same in n rows.
+    """
+    good = _good(rows, bits, distance)
+    shared = good.groupBy(F.col(bits).alias("h")).count().filter("count > 1").select("h", F.col("h").alias("h2"), F.lit(0).alias("distance"))
+    close = lookalike_hashes(rows, bits, distance).unionByName(shared)
+    a = good.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns])
+    b = good.select(*[F.col(c).alias(f"b_{c}") for c in rows.columns])
+    pairs = close.join(a, F.col("h") == F.col(f"a_{bits}")).join(b, F.col("h2") == F.col(f"b_{bits}"))
+    pairs = pairs.filter((F.col("h") != F.col("h2")) | (F.col(f"a_{key}") < F.col(f"b_{key}")))
+    if confirm is not None:
+        pairs = pairs.filter(confirm)
+    return pairs.select(F.least(f"a_{key}", f"b_{key}").alias("a"), F.greatest(f"a_{key}", f"b_{key}").alias("b"), "distance")
 
 
 def lookalike_groups(rows: DataFrame, key: str, bits: str, distance: int, same: Column | None = None) -> DataFrame:
@@ -73,7 +94,7 @@ def lookalike_groups(rows: DataFrame, key: str, bits: str, distance: int, same:
 
     ``same`` is a condition on columns of both rows, prefixed ``a_`` and ``b_``, that must also hold.
     """
-    close = lookalike_pairs(rows, key, bits, distance)
+    close = lookalike_hashes(rows, bits, distance)
     if same is None:  # rows of one hash are look-alikes by themselves; only hashes need connecting
         first = rows.filter(F.col(bits).isNotNull() & ~S.matches_anything(F.col(bits), distance)).groupBy(F.col(bits).alias("h")).agg(F.min(key).alias("lead"))
         one, two = first.toDF("h", "lead1"), first.toDF("h2", "lead2")

@@ -46,3 +46,17 @@ def test_query_against_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(c.QUERIES) - set(c.ORACLES)))
 def test_query_without_sql_runs(spark, name):
     assert c.QUERIES[name](spark, D).count() > 0
+
+
+def test_lookalike_pairs_with_copies_against_sql(spark, tmp_path):
+    """Every fifth vector comes again as an exact copy and as a longer one, which has the same signs."""
+    con = duckdb.connect()
+    e = f"select vec_id, embedding, label from read_parquet('{D}/embeddings.parquet')"
+    again = "select vec_id + {k}, list_transform(embedding, lambda x: (x * {k} / 1000)::float), label from e where vec_id % 5 = 0"
+    con.execute(f"copy (with e as ({e}) from e union all {again.format(k=1000)} union all {again.format(k=2000)}) to '{tmp_path}/embeddings.parquet' (format parquet)")
+    con.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet')")
+    df = c.QUERIES["lookalike_pairs"](spark, str(tmp_path))
+    rel = con.sql(c.ORACLES["lookalike_pairs"])
+    want = normal(rel.fetchall(), rel.columns)
+    assert len(want) > 200
+    assert normal([tuple(r) for r in df.collect()], df.columns) == want

@@ -151,6 +151,19 @@ def test_lookalike_joins_match_brute_force(spark):
         assert sorted(map(tuple, resolve.lookalike_groups(df, "id", "h", d, far).collect())) == want
 
 
+def test_lookalike_pairs_hold_rows_of_one_hash(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(-(2**63), 2**63, 12, dtype=np.int64).tolist()
+    rows = [(k, base[k % 12] ^ (1 << (k % 5) if k % 3 else 0)) for k in range(48)] + [(98, None), (99, None)]
+    df = spark.createDataFrame(rows, "id long, h long")
+    gap = lambda x, y: bin((x ^ y) & (2**64 - 1)).count("1")
+    want = sorted((i, j, gap(x, y)) for i, x in rows for j, y in rows if i < j and x is not None and y is not None and gap(x, y) <= 7)
+    assert [p for p in want if p[2] == 0] and [p for p in want if p[2] > 0]
+    assert sorted(map(tuple, resolve.lookalike_pairs(df, "id", "h", 7).collect())) == want
+    odd = (F.col("a_id") + F.col("b_id")) % 2 == 1
+    assert sorted(map(tuple, resolve.lookalike_pairs(df, "id", "h", 7, odd).collect())) == [p for p in want if (p[0] + p[1]) % 2]
+
+
 def test_leader_clusters_follow_id_order(spark):
     v = lambda deg: [float(np.cos(np.radians(deg))), float(np.sin(np.radians(deg)))]
     df = spark.createDataFrame([(3, v(20)), (1, v(0)), (2, v(90)), (4, v(80))], "id long, v array<double>")
