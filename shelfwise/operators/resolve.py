@@ -27,23 +27,30 @@ def exact_groups(rows: DataFrame, key: str, size: str, content: Column) -> DataF
     return hashed.join(groups, ["size", "hash"]).select("key", "hash", "group", "copies")
 
 
-def connected(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def _stars(edges: DataFrame, large: bool) -> DataFrame:
+    """``edges`` (u, v) with u > v. Large: join all higher neighbours of each node to its minimum; small: all lower ones."""
+    around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
+    low = around.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
+    j = around.join(low, F.col("u") == F.col("c"))
+    if large:
+        out = j.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    else:
+        out = j.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+    return out.filter("u > v").distinct()
+
+
+def connected(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each connected component; nodes without edges are left out.
 
-    Labels spread along edges and jump to their label's label, each round a written table, until nothing changes.
+    Large and small stars by turns, each round a written table, until no edge changes: rounds grow with the logarithm of
+    the longest path and have no cap.
     """
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    for _ in range(rounds):
-        spread = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        near = labels.join(spread, labels["node"] == spread["a"]).select("node", F.least("label", "near").alias("l"))
-        jump = near.select(F.col("node").alias("n2"), F.col("l").alias("up"))
-        new = written(near.join(jump, near["l"] == jump["n2"], "left").select("node", F.least("l", F.coalesce("up", "l")).alias("label")), "labels")
-        same = new.join(labels.withColumnRenamed("label", "old"), "node").filter("label <> old").isEmpty()
-        labels = new
-        if same:
-            return labels
-    return labels
+    edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("a is not null and b is not null and a <> b").distinct(), "edges")
+    last = None
+    while (seen := edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()) != last:
+        last, edges = seen, written(_stars(_stars(edges, True), False), "edges")
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
 
 
 def bands(bits: Column, distance: int, width: int = 64) -> Column:
