@@ -408,9 +408,9 @@ def cosine_to_centroid(spark, d):
 
 @query()
 def leader_clusters(spark, d):
-    """Order decides, so SQL cannot say it; the tests hold it against a plain loop."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
-    return resolve.leader_clusters(e, 0.45, "label")
+    """Order decides, so SQL cannot say it; the tests hold it against a plain loop. All vectors are one sequential group."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return resolve.leader_clusters(e, 0.45)
 
 
 @query("select user_id as \"group\", count(*) as n, array_to_string(list(event_id order by event_id)[1:3], ',') as strip from events group by user_id having count(*) >= 2 order by n desc, user_id limit 200")

@@ -135,29 +135,53 @@ def moved(new: DataFrame, old: DataFrame, keys: list[str], name: str = "name", g
     return first.unionByName(alone(rest))
 
 
+LEADER_ROWS = 64
+
+
 def leader_clusters(vectors: DataFrame, threshold: float, block: str | None = None) -> DataFrame:
     """(id, cluster, similarity): each vector joins the cluster with the nearest sum so far, or starts its own.
 
-    The order of ids decides, so one block of vectors (``block``, for example a shard or a label) is one sequential task.
+    The order of ids decides, so one block of vectors (``block``, for example a shard) is one sequential task; without
+    ``block`` all vectors are. Vectors of different blocks never meet. A few vectors at a time are held against all sums
+    of before at once; sums that change or start among them are looked at again one by one.
     """
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        sums, lead, out = None, [], []
-        for i, v in zip(pdf["id"], pdf["v"], strict=True):
-            v = np.asarray(v, np.float64)
-            norm = np.linalg.norm(v)
-            best, at = 0.0, -1
-            if sums is not None and norm > 0:
-                score = sums @ v / (np.maximum(np.linalg.norm(sums, axis=1), 1e-300) * norm)
-                at, best = int(score.argmax()), float(score.max())
-            if at >= 0 and best >= threshold:
-                sums[at] += v
-                out.append((i, lead[at], best))
-            else:
-                sums = v[None] if sums is None else np.vstack([sums, v])
-                lead.append(i)
-                out.append((i, i, 1.0))
+        ids = pdf["id"].tolist()
+        if not ids:
+            return pd.DataFrame({"id": [], "cluster": [], "similarity": []})
+        vecs = np.array([np.asarray(v, np.float64) for v in pdf["v"]])
+        norms = np.linalg.norm(vecs, axis=1)
+        sums, lengths, k = np.zeros((1024, vecs.shape[1])), np.zeros(1024), 0
+        lead, out = [], []
+        for start in range(0, len(ids), LEADER_ROWS):
+            some, old = vecs[start : start + LEADER_ROWS], k
+            scores = some @ sums[:old].T / np.maximum(lengths[:old], 1e-300)
+            changed: list = []
+            for j, v in enumerate(some):
+                i, norm, at, best = ids[start + j], norms[start + j], -1, 0.0
+                if k and norm > 0:
+                    scores[j, changed] = sums[changed] @ v / np.maximum(lengths[changed], 1e-300)
+                    near = [(float(scores[j, c]), c) for c in ([int(scores[j].argmax())] if old else [])]
+                    if k > old:
+                        fresh = sums[old:k] @ v / np.maximum(lengths[old:k], 1e-300)
+                        near.append((float(fresh.max()), old + int(fresh.argmax())))
+                    best, at = max(near, key=lambda x: (x[0], -x[1]))
+                    best /= norm
+                if at >= 0 and best >= threshold:
+                    sums[at] += v
+                    out.append((i, lead[at], best))
+                    if at < old and at not in changed:
+                        changed.append(at)
+                else:
+                    at, k = k, k + 1
+                    if k > len(sums):
+                        sums, lengths = np.concatenate([sums, np.zeros_like(sums)]), np.concatenate([lengths, np.zeros_like(lengths)])
+                    sums[at] = v
+                    lead.append(i)
+                    out.append((i, i, 1.0))
+                lengths[at] = np.linalg.norm(sums[at])
         return pd.DataFrame(out, columns=["id", "cluster", "similarity"])
 
     df = vectors.withColumn("__block", F.col(block) if block else F.lit(0))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from shelfwise import catalog_queries as c
+from shelfwise.operators import resolve
 
 D = "/root/testdata/sf0.001"
 
@@ -60,3 +61,38 @@ def test_lookalike_pairs_with_copies_against_sql(spark, tmp_path):
     want = normal(rel.fetchall(), rel.columns)
     assert len(want) > 200
     assert normal([tuple(r) for r in df.collect()], df.columns) == want
+
+
+def leaders(rows, threshold):
+    """Leader clustering by a plain loop: (id, cluster, similarity)."""
+    sums, lead, out = [], [], []
+    for i, v in sorted(rows, key=lambda r: r[0]):
+        v = np.asarray(v, float)
+        score = [s @ v / (np.linalg.norm(s) * np.linalg.norm(v)) for s in sums]
+        at = int(np.argmax(score)) if score else -1
+        if at >= 0 and score[at] >= threshold:
+            sums[at] = sums[at] + v
+            out.append((i, lead[at], round(score[at], 9)))
+        else:
+            sums.append(v)
+            lead.append(i)
+            out.append((i, i, 1.0))
+    return out
+
+
+def test_leader_clusters_against_a_plain_loop(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{D}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    got = sorted((r.id, r.cluster, round(r.similarity, 9)) for r in c.QUERIES["leader_clusters"](spark, D).collect())
+    want = leaders(rows, 0.45)
+    assert got == want
+    label = {r.vec_id: r.label for r in spark.read.parquet(f"{D}/embeddings.parquet").select("vec_id", "label").collect()}
+    assert any(label[i] != label[k] for i, k, _ in want)  # vectors of different labels meet
+
+
+def test_leader_clusters_of_few_large_groups_against_a_plain_loop(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(8, 6))
+    rows = [(int(i), (centres[rng.integers(8)] + rng.normal(size=6) * 0.4).tolist()) for i in rng.permutation(400)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = sorted((r.id, r.cluster, round(r.similarity, 9)) for r in resolve.leader_clusters(df, 0.8).collect())
+    assert got == leaders(rows, 0.8)
