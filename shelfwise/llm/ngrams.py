@@ -375,29 +375,30 @@ def _sets(table: pa.Table) -> list[np.ndarray]:
 
 
 def _small_blocks(cands: DataFrame, tokens: int) -> DataFrame:
-    """(s1, s2, low) of the components that fit a block; many of them are worked on in one call."""
+    """(s1, s2, low, root) of the components that fit a block; many of them are worked on in one call. The root is a class's smallest s1."""
     buckets = max(1, tokens // BUCKET_TOKENS)
     kind = cands.schema["low"].dataType.simpleString()
 
     def work(table: pa.Table) -> pa.Table:
-        comp, sets, low = table.column("comp").to_numpy(), _sets(table), table.column("low").to_pylist()
-        out = list(low)
+        comp, sets, low, sid = table.column("comp").to_numpy(), _sets(table), table.column("low").to_pylist(), table.column("s1").to_pylist()
+        out, roots = list(low), list(sid)
         order = np.argsort(comp, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
-            best: dict = {}
+            best, least = {}, {}
             label = linked([sets[k] for k in part]).tolist()
             for k, c in zip(part.tolist(), label, strict=True):
+                least[c] = min(least.get(c, sid[k]), sid[k])
                 if low[k] is not None:
                     best[c] = min(best.get(c, low[k]), low[k])
             for k, c in zip(part.tolist(), label, strict=True):
-                out[k] = best.get(c)
-        return pa.table({"s1": table.column("s1"), "s2": table.column("s2"), "low": pa.array(out, table.column("low").type)})
+                out[k], roots[k] = best.get(c), least[c]
+        return pa.table({"s1": table.column("s1"), "s2": table.column("s2"), "low": pa.array(out, table.column("low").type), "root": pa.array(roots, pa.int64())})
 
-    return cands.filter("parts = 1").withColumn("bucket", F.pmod(F.xxhash64("comp"), F.lit(buckets))).groupBy("bucket").applyInArrow(work, f"s1 long, s2 long, low {kind}")
+    return cands.filter("parts = 1").withColumn("bucket", F.pmod(F.xxhash64("comp"), F.lit(buckets))).groupBy("bucket").applyInArrow(work, f"s1 long, s2 long, low {kind}, root long")
 
 
 def _large_blocks(cands: DataFrame) -> DataFrame:
-    """(s1, s2, low) of components that are cut into chunks."""
+    """(s1, s2, low, root) of components that are cut into chunks."""
     rows = materialize(cands.filter("parts > 1").withColumn("chunk", F.pmod(F.xxhash64("s1", "s2"), "parts")), "shingle-large")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("chunk")
     # Each chunk also gets the component's first few sets.
@@ -431,11 +432,16 @@ def _large_blocks(cands: DataFrame) -> DataFrame:
         classes = components(materialize(first.unionByName(second), "shingle-ties")).select(F.col("node").alias("s1"), F.col("component").alias("class"))
         labelled = rows.join(classes, "s1", "left").withColumn("class", F.coalesce("class", "s1"))
     low = labelled.groupBy("comp", "class").agg(F.min("low").alias("class_low"))
-    return labelled.join(low, ["comp", "class"]).select("s1", "s2", F.col("class_low").alias("low"))
+    return labelled.join(low, ["comp", "class"]).select("s1", "s2", F.col("class_low").alias("low"), F.col("class").alias("root"))
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, th, n_shingles, component_id) of every row; ``th`` is Spark's xxhash64 of the text."""
+    return _rooted(docs, doc_id, text).drop("root")
+
+
+def _rooted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of :func:`join` plus ``root``, a key of the component that is null only for rows without shingles."""
     docs = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
     digests = _digests(docs)
     each = digests.filter("token is null").select("doc_id", "th", "n", "s1", "s2")
@@ -453,12 +459,12 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     found = _small_blocks(held, stats.tokens or 0)
     if (stats.most or 0) > 1:
         found = found.unionByName(_large_blocks(held))
-    found = found.select(F.col("s1").alias("f1"), F.col("s2").alias("f2"), F.col("low").alias("found"))
+    found = found.select(F.col("s1").alias("f1"), F.col("s2").alias("f2"), F.col("low").alias("found"), F.col("root").alias("found_root"))
     final = reps.join(found, (reps["s1"] == found["f1"]) & (reps["s2"] == found["f2"]), "left")
-    final = materialize(final.select(F.col("s1").alias("r1"), F.col("s2").alias("r2"), F.coalesce("found", "low").alias("component_id")), "shingle-classes")
+    final = materialize(final.select(F.col("s1").alias("r1"), F.col("s2").alias("r2"), F.coalesce("found", "low").alias("component_id"), F.coalesce("found_root", "s1").alias("root")), "shingle-classes")
     release(held, reps)
     out = each.join(final, (each["s1"] == final["r1"]) & (each["s2"] == final["r2"]), "left")
-    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "root")
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
@@ -468,9 +474,9 @@ def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Pipeline stage: the first document of each component, and every document without shingles; its own columns only."""
-    found = materialize(join(docs), "jaccard")
+    found = materialize(_rooted(docs), "jaccard")
     linked_ = found.filter("n_shingles > 0")
-    keep = linked_.groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("k")).select("k.*")
+    keep = linked_.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("k")).select("k.*")
     keep = keep.unionByName(found.filter("n_shingles = 0").select("doc_id", "th").distinct())
     keep = keep.select(F.col("doc_id").alias("__j_id"), F.col("th").alias("__j_th"))
     own = docs.withColumn("__j_own", F.xxhash64("text"))

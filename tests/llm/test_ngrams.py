@@ -106,6 +106,19 @@ def test_stage_keeps_one_of_each(spark):
     assert {r.doc_id for r in kept if not set_of(r.text)} == {d for d, t in rows if not set_of(t)}
 
 
+@pytest.mark.parametrize("block", [1024, 4])
+def test_stage_keeps_unlinked_documents_without_ids(spark, monkeypatch, block):
+    monkeypatch.setattr(ngrams, "BLOCK", block)
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"t{k}w{x}" for x in rng.integers(0, 50, 90)) for k in range(6)]
+    near = [f"{texts[1]} tail{k}" for k in range(12)]
+    rows = [(None, t) for t in [*texts, *near, texts[2]]] + [(7, texts[3]), (8, "one text of a repeated id here"), (8, "and quite another one with it")]
+    df = spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, source string")
+    kept = ngrams.one_of_each(df).collect()
+    one = [next((k for k in range(6) if r.text.startswith(texts[k])), r.text) for r in kept]
+    assert sorted(one, key=str) == sorted([*range(6), rows[-2][1], rows[-1][1]], key=str)
+
+
 def test_empty(spark):
     assert ngrams.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert ngrams.join(spark.createDataFrame([(1, None)], "doc_id long, text string")).select("component_id").first()[0] == 1
