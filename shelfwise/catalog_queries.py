@@ -155,6 +155,14 @@ def slideshow_permutation(spark, d):
     return walked.filter(F.pmod(F.col("step") * stride, F.lit(n)) == F.col("pos")).filter("pos % 7 = 0").select("id", "pos")
 
 
+@query(f"with {_PLACED}, n as (select count(*) as n from orders), w as (select s as stride from n, (select unnest(range(1, n + 1)) as s from n) where gcd(s, n) = 1 order by abs(s - round(n * 0.618)), s limit 1), k as (select k, (k * stride) % n as pos from n, w, (select unnest(range(0, n)) as k from n)) select id, pos, k as step from k join placed using (pos)")
+def slideshow_walk(spark, d):
+    """Every place with the step at which a walk by a coprime stride reaches it."""
+    rows = views.placed(orders(spark, d))
+    n = rows.count()
+    return views.slideshow(rows, 0, views.stride_for(n), n).select("id", "pos", "step")
+
+
 @query("select o_custkey as folder_path, year(min(o_orderdate))::int as year, row_number() over (order by year(min(o_orderdate)) desc, min(o_orderdate) desc, o_custkey) - 1 as rank from orders group by o_custkey")
 def sidebar_by_year(spark, d):
     f = orders(spark, d).groupBy("folder_path").agg(F.min("taken_at").alias("oldest")).withColumn("year", F.year("oldest"))

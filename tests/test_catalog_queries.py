@@ -96,3 +96,10 @@ def test_leader_clusters_of_few_large_groups_against_a_plain_loop(spark):
     df = spark.createDataFrame(rows, "id long, v array<double>")
     got = sorted((r.id, r.cluster, round(r.similarity, 9)) for r in resolve.leader_clusters(df, 0.8).collect())
     assert got == leaders(rows, 0.8)
+
+
+def test_slideshow_walk_reaches_every_place_once(spark):
+    rows = c.QUERIES["slideshow_walk"](spark, D).orderBy("step").collect()
+    n = spark.read.parquet(f"{D}/orders.parquet").count()
+    assert [r.step for r in rows] == list(range(n)) and sorted(r.pos for r in rows) == list(range(n))
+    assert len({(b.pos - a.pos) % n for a, b in zip(rows, rows[1:])}) == 1 and rows[1].pos > 1
