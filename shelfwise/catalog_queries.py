@@ -428,6 +428,14 @@ def people_page_sections(spark, d):
     return people.page(faces, who, 3).filter("section = 'unnamed'").select("group", "n", F.array_join(F.col("strip").cast("array<string>"), ",").alias("strip"))
 
 
+@query("with g as (select user_id as \"group\", count(*) as n, array_to_string(list(event_id order by event_id)[1:3], ',') as strip from events group by user_id), s as (select case when n >= 2 then 'unnamed' else 'singles' end as section, * from g) select section, \"group\", n, strip from s qualify row_number() over (partition by section order by n desc, \"group\") <= 200")
+def people_page_all(spark, d):
+    """Every section of the page; no group here is named or ignored."""
+    faces = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("person_id"))
+    who = faces.select(F.col("person_id").alias("id")).distinct().select("id", F.lit(None).cast("string").alias("name"), F.lit(False).alias("ignored"))
+    return people.page(faces, who, 3).select("section", "group", "n", F.array_join(F.col("strip").cast("array<string>"), ",").alias("strip"))
+
+
 @query("with n as (select user_id as \"group\", event_type as contact, count(*) as n from events group by 1, 2) select \"group\", max_by(contact, struct_pack(n := n, c := contact)) as contact from n group by \"group\" having max(n) * 2 > sum(n)")
 def offered_names(spark, d):
     return people.offered_names(table(spark, d, "events").select(F.col("user_id").alias("group"), F.col("event_type").alias("contact")))
@@ -513,3 +521,10 @@ def export_names(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 == 0, F.lit("scan.jpg")).otherwise(F.lit("Scan.JPG")).alias("name"))
     out = media.export_names(p, "name").withColumn("lower_name", F.lower("name"))
     return out.filter("name = 'scan.jpg' or out_name = name").select("name", "lower_name", "out_name", "id")
+
+
+@query("select name, lower_name, case when n = 1 then name else regexp_replace(name, '[.][^.]*$', '') || ' (' || n || ')' || regexp_extract(name, '[.][^.]*$') end as out_name, id from (select p_partkey as id, case when p_partkey % 2 = 0 then 'scan.jpg' else 'Scan.JPG' end as name, 'scan.jpg' as lower_name, row_number() over (order by p_partkey) as n from part)")
+def export_names_all(spark, d):
+    """Every row, those whose names clash only by case too."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 == 0, F.lit("scan.jpg")).otherwise(F.lit("Scan.JPG")).alias("name"))
+    return media.export_names(p, "name").withColumn("lower_name", F.lower("name")).select("name", "lower_name", "out_name", "id")

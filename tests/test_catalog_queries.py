@@ -103,3 +103,19 @@ def test_slideshow_walk_reaches_every_place_once(spark):
     n = spark.read.parquet(f"{D}/orders.parquet").count()
     assert [r.step for r in rows] == list(range(n)) and sorted(r.pos for r in rows) == list(range(n))
     assert len({(b.pos - a.pos) % n for a, b in zip(rows, rows[1:])}) == 1 and rows[1].pos > 1
+
+
+def test_export_names_all_holds_case_clashes(spark):
+    rows = c.QUERIES["export_names_all"](spark, D).collect()
+    assert len(rows) == spark.read.parquet(f"{D}/part.parquet").count()
+    assert len({r.out_name.lower() for r in rows}) == len(rows)
+    assert {r.id: r.out_name for r in rows if r.id <= 3} == {0: "scan.jpg", 1: "Scan (2).JPG", 2: "scan (3).jpg", 3: "Scan (4).JPG"}
+
+
+def test_people_page_all_holds_singles(spark, tmp_path):
+    spark.createDataFrame([(1, 5), (2, 5), (3, 6), (4, 7)], "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    df = c.QUERIES["people_page_all"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == [("singles", 6, 1, "3"), ("singles", 7, 1, "4"), ("unnamed", 5, 2, "1,2")]
+    assert sorted(con.sql(c.ORACLES["people_page_all"]).fetchall()) == sorted(map(tuple, df.collect()))
