@@ -5,8 +5,9 @@ languages by votes. Features are hashed byte pairs and triples of the lower-case
 so every model is a table of weights and a text's margin is the mean weight of its n-grams: one pass of numpy over a
 batch of texts, however long they are.
 
-Models learn from text and lang only, from at most about ``SAMPLE`` labelled rows picked by a hash of doc_id, by
-averaged stochastic gradient steps on the hinge loss in a fixed order. Families are a fixed table; a language outside
+Models learn from text and lang only, from about ``SAMPLE`` labelled rows shared out evenly over the languages
+(``LEAST_EACH`` of each at least, where there are so many) and picked by a hash of doc_id and text, by averaged
+stochastic gradient steps on the hinge loss in a fixed order. Families are a fixed table; a language outside
 it is a family of its own.
 
 Defined cases: a null text, or one without a letter, gives ``und`` with score 0; so does every text when no row is
@@ -22,12 +23,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices
 
 SAMPLE, BUCKETS, EPOCHS, PENALTY = 3000, 4096, 30, 1e-4
+LEAST_EACH = 16
 # Families of languages, by ISO 639-1 code.
 FAMILIES = {
     "germanic": ["de", "en", "nl", "sv", "da", "no", "is", "af"],
@@ -155,10 +157,16 @@ class Hierarchy:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Hierarchy | None:
-    """Learn on the driver from the bounded sample of (doc_id, text, lang); None without labelled rows."""
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    n = labelled.select("lang").count()
-    rows = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // sample))) == 0).limit(2 * sample).select("doc_id", "text", "lang").collect()
+    """Learn on the driver from a bounded sample of each language of (doc_id, text, lang); None without labelled rows."""
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang", F.xxhash64("doc_id", "text").alias("h"))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()
+    if not counts:
+        return None
+    each = max(LEAST_EACH, sample // len(counts))
+    steps = docs.sparkSession.createDataFrame([(r.lang, max(1, r.n // each), r.least) for r in counts], "lang string, step long, least long")
+    some = labelled.join(F.broadcast(steps), "lang").filter((F.pmod("h", "step") == 0) | (F.col("h") == F.col("least")))  # one row a language
+    some = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    rows = some.filter(F.col("k") <= 2 * each).select("doc_id", "text", "lang").collect()
     rows = sorted({(r.doc_id or 0, r.text, r.lang) for r in rows if LETTER.search(r.text)})
     return Hierarchy([r[1] for r in rows], [r[2] for r in rows]) if rows else None
 

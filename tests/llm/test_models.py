@@ -32,6 +32,14 @@ def test_language_edge_cases(spark, tmp_path):
     assert language.identify(df.limit(0), model).count() == 0
 
 
+def test_rare_languages_are_learned(spark):
+    rows = [(k, f"the house and the dog number {k}", "en") for k in range(2500)] + [(k, f"la maison et le chien sont ici {k}", "fr") for k in range(2500, 4000)]
+    rows += [(k, f"talo ja koira ovat metsässä {k}", "fi") for k in range(4000, 4006)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 100)
+    assert sorted(model.langs) == ["en", "fi", "fr"]
+    assert model.predict(pa.array(["koira ja talo metsässä", "the dog and the house", "le chien et la maison"]))[0] == ["fi", "en", "fr"]
+
+
 def test_batches_do_not_change_margins():
     texts = ["the cat and the dog", "", "le chat et le chien", "é", "der hund und die katze"]
     model = language.Hierarchy(texts[:1] * 3 + texts[2:3] * 3 + texts[4:] * 3, ["en"] * 3 + ["fr"] * 3 + ["de"] * 3)
