@@ -5,23 +5,26 @@ The join is exact:
 
 1. Digests. Equal sets are one set from here on. Shingles that repeat within a run of texts are counted, and the most
    frequent ones (at most ``HOT_MOST``, each in ``HOT_LEAST`` sets or more) go last in the order of shingles.
-2. Candidates. Linked sets share at least k shingles among their first n - ceil(0.75 n) + k in that order. Pairs that meet
-   less often go. Where a frequent shingle is among the first ones, its sets are tied to one leader per range of sizes
-   instead of to each other, so a group of near copies makes as many ties as it has members.
-3. Blocks. The connected components of the candidates hold every link; a component's sets come together once.
-4. Signature tree. In a block sets are sorted by size and smallest shingles; each tree node holds the OR of its sets'
+2. Subtrees. Linked sets share at least k shingles among their first n - ceil(0.75 n) + k in that order. Sets that meet at
+   k or more of them are tied. A frequent shingle ties its sets to a node of its own for each range of sizes, never to
+   each other, so a hot shingle is not a hot key, and a group of near copies makes about as many ties as it has members.
+   The ties' connected components hold every link; each is a subtree and its sets come together once.
+3. Signature tree. In a subtree sets are sorted by size and smallest shingles; each tree node holds the OR of its sets'
    bitmaps, their range of sizes, and the most shingles that share a bit in one of its sets. Two nodes are walked together
    from the root; a pair is pruned when no two sets below can overlap enough, or when all of them are one class already.
    Pairs of sets that remain are verified on the shingles themselves.
-5. A component of more than ``BLOCK`` sets is cut into chunks that share its first few sets; what does not end in the
-   component's main class is then compared with all of its chunks, so such a component is many tasks and still exact.
+4. Small subtrees share a call, up to about ``CALL_TOKENS`` shingles. One of more than ``BLOCK`` sets or ``BLOCK_TOKENS``
+   shingles is cut by ranges of size (linked sets lie in the same range or in neighbouring ones) and these into chunks,
+   which all get the first few sets of the ranges around them. What does not end in the component's main class is then
+   walked against the chunks of its own and the neighbouring ranges, so such a component is many tasks and still exact.
 
-Only the bounded list of frequent shingles reaches the driver. Texts are read whole.
+Only the bounded list of frequent shingles reaches the driver. Texts are read whole; they are shuffled to the subtrees as
+texts, which are smaller than their shingles. What is written holds only sets that may link.
 
 Defined cases: null texts and texts without words have no shingles and link with nothing; fewer than five words are one
-shingle, the whole sequence; repeated rows are equal sets; a null doc_id belongs to its component, whose id is the
-smallest doc_id that is not null (null where there is none); an empty table gives an empty result; other columns are
-not read.
+shingle, the whole sequence; a very long text is one set like others, and a few of them fill a chunk; repeated rows are
+equal sets; a null doc_id belongs to its component, whose id is the smallest doc_id that is not null (null where there is
+none); an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, release, slices
@@ -40,8 +43,8 @@ from .graph import components
 WORDS, PERCENT = 5, 75
 HOT_MOST, HOT_LEAST, HOT_LOCAL, RUN_TOKENS = 200_000, 32, 3, 2_000_000
 EXTRA, GROUP = 8, 64
-BLOCK, PIVOTS, FAN, PARENTS, BUCKET_TOKENS = 1024, 4, 4, 4096, 1_000_000
-BATCH_BYTES = 3_000_000
+BLOCK, BLOCK_TOKENS, CALL_TOKENS, PIVOTS, FAN, PARENTS = 1024, 500_000, 400_000, 4, 4, 4096
+BATCH_BYTES, RUN_ROWS, SALTS = 2_000_000, 200_000, 256
 U = np.uint64
 
 
@@ -147,35 +150,67 @@ def _first(tokens: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return tokens[order], is_hot[order]
 
 
+def _range_of(n: np.ndarray | int) -> np.ndarray:
+    """The range of sizes a size is in; sizes that can link are in the same range or in neighbouring ones."""
+    return np.floor(np.log(n) / np.log(100.0 / PERCENT) + 1e-9).astype(np.int64)
+
+
 def _index(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(token, hot, sid, n): the first shingles of every set, once for each run of texts that has it."""
+    """(token, sid, n): the first shingles of every set, once for each run of texts that has it; n is 0 in ties (a, b).
+
+    A set's frequent first shingles, each with the set's range of sizes and the next, are nodes. Nodes of one set are tied to
+    each other, which a run does once for each pair, and the set to one of them."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
+        seen, nodes = set(), {}
+
+        def root(x: int) -> int:
+            while nodes.setdefault(x, x) != x:
+                nodes[x] = nodes[nodes[x]]
+                x = nodes[x]
+            return x
+
         for b in slices(batches, "text", BATCH_BYTES):
-            token, is_hot, sid, size = [], [], [], []
+            token, sid, size = [], [], []
             for x in shingles(b.column(0)):
                 if len(x) and (k := digest(x)) not in seen:
                     if len(seen) < 100_000:
                         seen.add(k)
                     first, h = _first(x, shared.value)
-                    token.append(first)
-                    is_hot.append(h)
-                    sid.append(np.full(len(first), k[0]))
-                    size.append(np.full(len(first), len(x)))
+                    rare = first[~h].view(np.int64)
+                    token.append(rare)
+                    sid.append(np.full(len(rare), k[0]))
+                    size.append(np.full(len(rare), len(x)))
+                    if h.any():
+                        at = _range_of(len(x)).astype(np.uint64) + np.arange(2, dtype=np.uint64)
+                        own = _mix(first[h][:, None] + (at + U(1)) * U(0x9E3779B97F4A7C15)).ravel().view(np.int64).tolist()
+                        ties = [(own[0], k[0])]
+                        for o in own[1:]:
+                            if (u := root(own[0])) != (v := root(o)):
+                                nodes[v] = u
+                                ties.append((own[0], o))
+                        token.append(np.array([t[0] for t in ties]))
+                        sid.append(np.array([t[1] for t in ties]))
+                        size.append(np.zeros(len(ties), np.int64))
+                    if len(nodes) > 500_000:
+                        nodes.clear()
             if token:
-                yield pa.record_batch([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(is_hot)), pa.array(np.concatenate(sid)), pa.array(np.concatenate(size).astype(np.int32))], names=["token", "hot", "sid", "n"])
+                yield pa.record_batch([pa.array(np.concatenate(token)), pa.array(np.concatenate(sid)), pa.array(np.concatenate(size).astype(np.int32))], names=["token", "sid", "n"])
+
+    return docs.select("text").mapInArrow(run, "token long, sid long, n int")
 
-    return docs.select("text").mapInArrow(run, "token long, hot boolean, sid long, n int")
 
+def _pairs(token: np.ndarray, sid: np.ndarray, n: np.ndarray, begun: bool = False) -> list[np.ndarray]:
+    """Pairs of sets that meet at rows sorted by token and size: a, b, smaller k, times met; ties of large groups have k 0.
 
-def _pairs(token: np.ndarray, sid: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-    """Pairs of sets that meet at rows sorted by token and size: a, b, smaller k, times met; ties of large groups have k 0."""
+    ``begun``: the first token's rows are the rest of a large group."""
     start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     length = np.diff(np.r_[start, len(token)])
+    if begun and len(length):
+        length[0] += GROUP + 1
     out_a, out_b, tie = [], [], []
-    group = np.repeat(length, length)
+    group = np.repeat(length, np.diff(np.r_[start, len(token)]))
     for gap in range(1, min(int(length.max(initial=0)), GROUP)):
         near = np.flatnonzero((token[gap:] == token[:-gap]) & (group[gap:] <= GROUP))
         out_a.append(near)
@@ -195,42 +230,37 @@ def _pairs(token: np.ndarray, sid: np.ndarray, n: np.ndarray) -> list[np.ndarray
 
 
 def _candidates(index: DataFrame) -> DataFrame:
-    """(a, b): ties between sets whose connected components hold every link, written."""
-    index = materialize(index, "shingle-index")
-    rare = index.filter(~F.col("hot")).select("token", "sid", "n")
+    """(a, b): ties between sets, or sets and nodes, whose connected components hold every link, written."""
+
+    def told(cols: list[np.ndarray], begun: bool) -> pa.RecordBatch:
+        token, sid, n = cols
+        once = np.r_[True, (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])] if len(token) else np.zeros(0, bool)
+        met, ready = once & (n > 0), once & (n == 0)
+        pairs = _pairs(token[met], sid[met], n[met], begun)
+        zero = np.zeros(int(ready.sum()), np.int64)
+        cols = [np.concatenate([p, r]) for p, r in zip(pairs, [token[ready], sid[ready], zero, zero], strict=True)]
+        return pa.record_batch([pa.array(x.astype(np.int64)) for x in cols], names=["a", "b", "k", "met"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        rest, begun = [np.zeros(0, np.int64)] * 3, False
         for b in batches:
-            cols = [b.column(k).to_numpy() for k in range(3)]
-            if rest is not None:
-                cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
-            # The last token's rows wait for the next batch. A very long run is cut and overlaps by one row.
+            cols = [np.concatenate([r, b.column(k).to_numpy()]) for k, r in enumerate(rest)]
+            # The last token's rows wait for the next batch. A very long run is cut: its parts are told as parts of a large
+            # group and overlap by one row.
             cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
-            if cut == 0 and len(cols[0]) > 200_000:
-                cut, keep = len(cols[0]), len(cols[0]) - 1
-            else:
-                keep = cut
-            rest = [x[keep:] for x in cols]
-            if cut:
-                yield told([x[:cut] for x in cols])
-        if rest is not None and len(rest[0]):
-            yield told(rest)
-
-    def told(cols: list[np.ndarray]) -> pa.RecordBatch:
-        once = np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])]
-        return pa.record_batch([pa.array(x.astype(np.int64)) for x in _pairs(*[x[once] for x in cols])], names=["a", "b", "k", "met"])
-
-    met = rare.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(meet, "a long, b long, k long, met long")
+            long = cut == 0 and len(cols[0]) > RUN_ROWS
+            if cut or long:
+                yield told([x[:cut] if cut else x for x in cols], begun or long)
+                begun, cut = long, cut or len(cols[0]) - 1
+            rest = [x[cut:] for x in cols]
+        if len(rest[0]):
+            yield told(rest, begun)
+
+    # Ties are spread: one node may have very many.
+    salt = F.when(F.col("n") == 0, F.pmod(F.xxhash64("sid"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    met = index.repartition("token", salt).sortWithinPartitions("token", "n", "sid").mapInArrow(meet, "a long, b long, k long, met long")
     met = met.groupBy("a", "b").agg(F.min("k").alias("k"), F.sum("met").alias("met")).filter(F.col("met") >= F.col("k")).select("a", "b")
-    # Frequent shingles: sets whose sizes can link share one of two neighbouring ranges of sizes.
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT)) + F.lit(1e-9))
-    tied = index.filter("hot").select("token", "sid", F.explode(F.array(band, band + 1)).alias("band"))
-    lead = tied.groupBy("token", "band").agg(F.min("sid").alias("lead"))
-    ties = tied.join(lead, ["token", "band"]).filter("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct()
-    out = materialize(met.unionByName(ties), "shingle-candidates")
-    release(index)
-    return out
+    return materialize(met, "shingle-candidates")
 
 
 class Classes:
@@ -327,23 +357,17 @@ class SignatureTree:
 
 
 class Marks:
-    """Exact overlaps of the sets of a block."""
+    """Exact overlaps of the sets of a block, which are sorted arrays."""
 
     def __init__(self, sets: list[np.ndarray]):
-        flat, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-        self.ids = np.split(inverse.ravel(), np.cumsum([len(s) for s in sets])[:-1])
-        self.mark, self.of = np.zeros(len(flat), bool), -1
+        self.sets = sets
 
     def check(self, classes: Classes, a: int, b: int) -> None:
         if classes.find(a) == classes.find(b):
             return
-        if self.of != a:
-            if self.of >= 0:
-                self.mark[self.ids[self.of]] = False
-            self.mark[self.ids[a]] = True
-            self.of = a
-        both = int(self.mark[self.ids[b]].sum())
-        if 100 * both >= PERCENT * (len(self.ids[a]) + len(self.ids[b]) - both):
+        small, large = sorted((self.sets[a], self.sets[b]), key=len)
+        both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+        if 100 * both >= PERCENT * (len(small) + len(large) - both):
             classes.join(a, b)
 
 
@@ -358,81 +382,83 @@ def linked(sets: list[np.ndarray], wanted: np.ndarray | None = None) -> np.ndarr
     return out
 
 
-def _with_sets(docs: DataFrame, cands: DataFrame) -> DataFrame:
-    """Candidate rows plus ``tokens``, recomputed from the texts of one document each."""
+LINKS = "a long, b long"
+WORK = ["comp", "s1", "text", "wanted"]
+
+
+def _links(table: pa.Table) -> pa.Table:
+    """(a, b): each set of a call that is linked, and its class, both by s1. Components are walked one by one."""
+    comp, sid = table.column("comp").to_numpy(), table.column("s1").to_numpy()
+    wanted = table.column("wanted").to_numpy(zero_copy_only=False)
+    order = np.lexsort((~wanted, sid, comp))
+    order = order[np.r_[True, sid[order][1:] != sid[order][:-1]]]  # a set may come twice; the wanted one counts
+    comp, sid, wanted = comp[order], sid[order], wanted[order]
+    rows = table.select(["text"]).take(pa.array(order)).combine_chunks().to_batches()
+    sets = [x for b in slices(iter(rows), "text", BATCH_BYTES) for x in shingles(b.column(0))]
+    a, b = [], []
+    for part in np.split(np.arange(len(sid)), np.flatnonzero(np.diff(comp)) + 1):
+        label = part[linked([sets[k] for k in part], None if wanted[part].all() else wanted[part])]
+        far = label != part
+        a.append(sid[part][far])
+        b.append(sid[label][far])
+    return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
+
+
+def _near(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``rows`` once for every chunk of their component in their own range of sizes (``band``) and the neighbouring ones."""
+    rows = rows.withColumn("at", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    target = sizes.select(F.col("comp").alias("t_comp"), F.col("band").alias("t_band"), F.col("parts").alias("t_parts"))
+    j = rows.join(target, (rows["comp"] == target["t_comp"]) & (rows["at"] == target["t_band"]))
+    return j.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("t_parts") - 1))).drop("t_comp", "t_band", "t_parts")
+
+
+def _parts(count, tokens) -> Column:
+    return F.greatest(F.ceil(count / BLOCK), F.ceil(tokens / BLOCK_TOKENS)).cast("long")
+
+
+def _linked_sets(docs: DataFrame, cands: DataFrame) -> DataFrame:
+    """(node, component) of the sets (s1) that link with another."""
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT)) + F.lit(1e-9)).cast("long")
+    cands = cands.withColumn("band", band)
+    sizes = cands.groupBy("comp", "band").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
+    whole = sizes.groupBy("comp").agg(F.sum("c").alias("wc"), F.sum("t").alias("wt")).select(F.col("comp").alias("w_comp"), ((F.col("wc") > BLOCK) | (F.col("wt") > BLOCK_TOKENS)).alias("large"), "wt")
+    sizes = sizes.join(whole, F.col("comp") == F.col("w_comp")).select("comp", "band", _parts(F.col("c"), F.col("t")).alias("parts"), "large", "t")
+    sizes = materialize(sizes, "shingle-sizes")
+    total = sizes.agg(F.sum("t").alias("t"), F.max("large").alias("large")).first()
+    calls = max(1, (total.t or 0) // CALL_TOKENS)
+    placed = cands.join(sizes.drop("t"), ["comp", "band"])
     own = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), "text")
-    j = own.join(cands, own["d"].eqNullSafe(cands["rep_id"]) & (own["h"] == cands["rep_th"])).select("text", "comp", "parts", "s1", "s2", "low").dropDuplicates(["s1", "s2"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", BATCH_BYTES):
-            yield pa.record_batch([*b.columns[1:], pa.array([x.tobytes() for x in shingles(b.column(0))], pa.binary())], names=["comp", "parts", "s1", "s2", "low", "tokens"])
-
-    return j.mapInArrow(run, f"comp long, parts long, s1 long, s2 long, low {docs.schema['doc_id'].dataType.simpleString()}, tokens binary")
-
-
-def _sets(table: pa.Table) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
-
-
-def _small_blocks(cands: DataFrame, tokens: int) -> DataFrame:
-    """(s1, s2, low, root) of the components that fit a block; many of them are worked on in one call. The root is a class's smallest s1."""
-    buckets = max(1, tokens // BUCKET_TOKENS)
-    kind = cands.schema["low"].dataType.simpleString()
-
-    def work(table: pa.Table) -> pa.Table:
-        comp, sets, low, sid = table.column("comp").to_numpy(), _sets(table), table.column("low").to_pylist(), table.column("s1").to_pylist()
-        out, roots = list(low), list(sid)
-        order = np.argsort(comp, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
-            best, least = {}, {}
-            label = linked([sets[k] for k in part]).tolist()
-            for k, c in zip(part.tolist(), label, strict=True):
-                least[c] = min(least.get(c, sid[k]), sid[k])
-                if low[k] is not None:
-                    best[c] = min(best.get(c, low[k]), low[k])
-            for k, c in zip(part.tolist(), label, strict=True):
-                out[k], roots[k] = best.get(c), least[c]
-        return pa.table({"s1": table.column("s1"), "s2": table.column("s2"), "low": pa.array(out, table.column("low").type), "root": pa.array(roots, pa.int64())})
-
-    return cands.filter("parts = 1").withColumn("bucket", F.pmod(F.xxhash64("comp"), F.lit(buckets))).groupBy("bucket").applyInArrow(work, f"s1 long, s2 long, low {kind}, root long")
-
-
-def _large_blocks(cands: DataFrame) -> DataFrame:
-    """(s1, s2, low, root) of components that are cut into chunks."""
-    rows = materialize(cands.filter("parts > 1").withColumn("chunk", F.pmod(F.xxhash64("s1", "s2"), "parts")), "shingle-large")
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("chunk")
-    # Each chunk also gets the component's first few sets.
-    ranked = rows.groupBy("comp").agg(F.min_by(F.struct("s1", "s2"), F.col("s1")).alias("p0"), *[F.min_by(F.struct("s1", "s2"), F.xxhash64("s1", F.lit(k))).alias(f"p{k}") for k in range(1, PIVOTS)])
-    chosen = ranked.select("comp", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("p")).select("comp", "p.s1", "p.s2")
-    pivots = rows.drop("chunk").join(chosen, ["comp", "s1", "s2"], "left_semi").select("comp", "parts", "s1", "s2", "low", "tokens", every)
-
-    def links(table: pa.Table) -> pa.Table:
-        sid, wanted = table.column("s1").to_numpy(), table.column("wanted").to_numpy(zero_copy_only=False)
-        _, keep = np.unique(sid, return_index=True)  # a pivot is in its own chunk twice, a wanted set too
-        order = np.lexsort((~wanted, sid))
-        keep = order[np.r_[True, sid[order][1:] != sid[order][:-1]]]
-        sets = _sets(table)
-        label = linked([sets[k] for k in keep], None if wanted[keep].all() else wanted[keep])
-        return pa.table({"a": pa.array(sid[keep]), "b": pa.array(sid[keep][label])})
-
-    one = rows.select("comp", "parts", "s1", "s2", "low", "tokens", "chunk").unionByName(pivots).withColumn("wanted", F.lit(True))
-    first = materialize(one.groupBy("comp", "chunk").applyInArrow(links, "a long, b long"), "shingle-ties")
-    classes = components(first).select(F.col("node").alias("s1"), F.col("component").alias("class"))
-    labelled = materialize(rows.join(classes, "s1", "left").withColumn("class", F.coalesce("class", "s1")), "shingle-labels")
-    sizes = labelled.groupBy("comp", "class").count()
-    main = sizes.groupBy("comp").agg(F.max_by("class", F.struct("count", "class")).alias("main"))
-    stray = labelled.join(main, "comp").filter(F.col("class") != F.col("main"))
-    stray = materialize(stray.select("comp", "parts", "s1", "s2", "low", "tokens"), "shingle-strays")
+    held = own.join(placed, own["d"].eqNullSafe(placed["rep_id"]) & (own["h"] == placed["rep_th"]))
+    held = held.select("comp", "s1", "text", F.lit(True).alias("wanted"), "band", "parts", "large", "n")
+    small = lambda df: df.filter(~F.col("large")).select(*WORK, F.pmod(F.xxhash64("comp"), F.lit(calls)).alias("k1"), F.lit(-1).cast("long").alias("k2"), F.lit(0).cast("long").alias("k3"))
+    if not total.large:
+        return components(materialize(small(held).groupBy("k1", "k2", "k3").applyInArrow(_links, LINKS), "shingle-ties"))
+    held = materialize(held, "shingle-subtrees")
+    rows, large = held.filter("large"), sizes.filter("large")
+    chunk = F.pmod(F.xxhash64("s1"), F.col("parts"))
+    pick = rows.groupBy("comp", "band").agg(*[F.min_by("s1", F.xxhash64("s1", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)])
+    pick = pick.select("comp", "band", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("s1"))
+    pivots = _near(rows.join(pick, ["comp", "band", "s1"], "left_semi").dropDuplicates(["s1"]), large)
+    first = small(held).unionByName(rows.select(*WORK, F.col("comp").alias("k1"), F.col("band").alias("k2"), chunk.alias("k3")))
+    first = first.unionByName(pivots.select(*WORK, F.col("comp").alias("k1"), F.col("at").alias("k2"), F.col("chunk").alias("k3")))
+    first = materialize(first.groupBy("k1", "k2", "k3").applyInArrow(_links, LINKS), "shingle-ties")
+    found = components(first)
+    members = rows.select("comp", "band", "n", "s1").distinct()
+    labelled = members.join(found, members["s1"] == found["node"], "left").withColumn("class", F.coalesce("component", "s1"))
+    main = labelled.groupBy("comp", "class").count().groupBy("comp").agg(F.max_by("class", F.struct("count", "class")).alias("main"))
+    stray = materialize(labelled.join(main, "comp").filter(F.col("class") != F.col("main")).select("comp", "band", "n", "s1"), "shingle-strays")
     if not stray.isEmpty():
-        # All strays of a component meet each of its chunks, in lots of at most about BLOCK.
-        lots = stray.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).alias("lots"))
-        whole = rows.join(lots, "comp").select("comp", "s1", "s2", "low", "tokens", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"), F.lit(False).alias("wanted"))
-        asked = stray.join(lots, "comp").select("comp", "s1", "s2", "low", "tokens", every, F.pmod(F.xxhash64("s2", "s1"), "lots").alias("lot"), F.lit(True).alias("wanted"))
-        second = whole.unionByName(asked).groupBy("comp", "chunk", "lot").applyInArrow(links, "a long, b long")
-        classes = components(materialize(first.unionByName(second), "shingle-ties")).select(F.col("node").alias("s1"), F.col("component").alias("class"))
-        labelled = rows.join(classes, "s1", "left").withColumn("class", F.coalesce("class", "s1"))
-    low = labelled.groupBy("comp", "class").agg(F.min("low").alias("class_low"))
-    return labelled.join(low, ["comp", "class"]).select("s1", "s2", F.col("class_low").alias("low"), F.col("class").alias("root"))
+        # Lots of strays of one range of sizes meet every chunk around it.
+        lots = materialize(stray.groupBy("comp", "band").agg(_parts(F.count("*"), F.sum("n")).alias("lots")), "shingle-lots")
+        meets = _near(lots.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1))), large)
+        meets = meets.select("comp", F.col("at").alias("k1"), F.col("chunk").alias("k2"), F.col("band").alias("k3"), F.col("lot").alias("k4"))
+        base = rows.select("comp", "s1", "text", F.lit(False).alias("wanted"), F.col("band").alias("k1"), chunk.alias("k2")).join(meets, ["comp", "k1", "k2"])
+        asked = rows.join(stray.select("s1"), "s1", "left_semi").join(lots, ["comp", "band"])
+        asked = _near(asked, large).select(*WORK, F.col("at").alias("k1"), F.col("chunk").alias("k2"), F.col("band").alias("k3"), F.pmod(F.xxhash64("s1", F.lit(1)), F.col("lots")).alias("k4"))
+        second = base.unionByName(asked).groupBy("comp", "k1", "k2", "k3", "k4").applyInArrow(_links, LINKS)
+        found = components(materialize(first.unionByName(second), "shingle-ties"))
+    release(held)
+    return found
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -449,20 +475,15 @@ def _rooted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     reps = materialize(reps, "shingle-sets")
     ties = _candidates(_index(docs, _frequent(digests)))
     comps = components(ties)
-    cands = reps.join(comps, reps["s1"] == comps["node"]).select("s1", "s2", "low", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th"), "n", F.col("component").alias("comp"))
+    cands = reps.join(comps, reps["s1"] == comps["node"]).select("s1", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th"), "n", F.col("component").alias("comp"))
     cands = materialize(cands, "shingle-members")
     release(ties)
-    parts = cands.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    cands = cands.join(parts, "comp")
-    held = materialize(_with_sets(docs, cands), "shingle-blocks")
-    stats = cands.agg(F.sum("n").alias("tokens"), F.max("parts").alias("most")).first()
-    found = _small_blocks(held, stats.tokens or 0)
-    if (stats.most or 0) > 1:
-        found = found.unionByName(_large_blocks(held))
-    found = found.select(F.col("s1").alias("f1"), F.col("s2").alias("f2"), F.col("low").alias("found"), F.col("root").alias("found_root"))
-    final = reps.join(found, (reps["s1"] == found["f1"]) & (reps["s2"] == found["f2"]), "left")
-    final = materialize(final.select(F.col("s1").alias("r1"), F.col("s2").alias("r2"), F.coalesce("found", "low").alias("component_id"), F.coalesce("found_root", "s1").alias("root")), "shingle-classes")
-    release(held, reps)
+    found = _linked_sets(docs, cands)
+    labelled = reps.join(found, reps["s1"] == found["node"], "left").select("s1", "s2", "low", F.coalesce("component", "s1").alias("root"))
+    low = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
+    final = labelled.drop("low").join(low, "root").select(F.col("s1").alias("r1"), F.col("s2").alias("r2"), "component_id", "root")
+    final = materialize(final, "shingle-classes")
+    release(cands, reps)
     out = each.join(final, (each["s1"] == final["r1"]) & (each["s2"] == final["r2"]), "left")
     return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "root")
 

@@ -122,3 +122,36 @@ def test_stage_keeps_unlinked_documents_without_ids(spark, monkeypatch, block):
 def test_empty(spark):
     assert ngrams.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert ngrams.join(spark.createDataFrame([(1, None)], "doc_id long, text string")).select("component_id").first()[0] == 1
+
+
+@pytest.mark.parametrize("rows_kept", [50, 120, 5000])
+def test_cut_runs_lose_no_link(spark, monkeypatch, rows_kept):
+    """One shingle in very many sets, whose rows come in several parts; the first and last sets share enough to be tied."""
+    monkeypatch.setattr(ngrams, "RUN_ROWS", rows_kept)
+    sets = 430
+    rows = [(5, k, 100) for k in range(1, sets + 1)] + [(10 + t, k, 100) for t in range(7) for k in (1, sets)] + [(3, 1, 100), (90, 2, 100), (91, sets, 100)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 97)
+    try:
+        df = spark.createDataFrame(rows, "token long, sid long, n int")
+        ties = [tuple(r) for r in ngrams._candidates(df).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    reach = ngrams.Classes(sets + 1)
+    for a, b in ties:
+        reach.join(a, b)
+    assert {reach.find(k) for k in range(1, sets + 1)} == {1}
+
+
+@pytest.mark.parametrize("block,tokens,run", [(8, 500_000, 200_000), (1024, 600, 20)])
+def test_long_texts_and_small_chunks(spark, monkeypatch, block, tokens, run):
+    monkeypatch.setattr(ngrams, "BLOCK", block)
+    monkeypatch.setattr(ngrams, "BLOCK_TOKENS", tokens)
+    monkeypatch.setattr(ngrams, "RUN_ROWS", run)
+    monkeypatch.setattr(ngrams, "HOT_LEAST", 20)
+    rng = np.random.default_rng(31)
+    long = [f"l{x}" for x in rng.integers(0, 4000, 30_000)]
+    near = [*long[:14_000], "changed", *long[14_001:]]
+    rows = corpus(8, copies=90)
+    rows = [*rows, (9001, " ".join(long)), (9002, " ".join(near)), (9003, " ".join(long[:20_000])), (9004, " ".join(long[:22_400]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngrams.join(df).collect()), key=str) == brute(rows)
