@@ -5,10 +5,12 @@ The join is exact:
 
 1. Digests. Equal sets are one set from here on. Shingles that repeat within a run of texts are counted, and the most
    frequent ones (at most ``HOT_MOST``, each in ``HOT_LEAST`` sets or more) go last in the order of shingles.
-2. Subtrees. Linked sets share at least k shingles among their first n - ceil(0.75 n) + k in that order. Sets that meet at
-   k or more of them are tied. A frequent shingle ties its sets to a node of its own for each range of sizes, never to
-   each other, so a hot shingle is not a hot key, and a group of near copies makes about as many ties as it has members.
-   The ties' connected components hold every link; each is a subtree and its sets come together once.
+2. Subtrees. Linked sets share at least k of their first n - ceil(0.75 n) + k shingles in that order; k grows with n, so
+   that a passage alone does not tie long texts. Meetings at shingles of few sets are counted by pair. Those at a common
+   shingle are not: a pair needs k less the smaller number of common shingles among either's first ones. Only a set that
+   has k or more of them there is tied by them, to nodes made of the shingle and the set's range of sizes, never to other
+   sets: a hot shingle is no hot key, and a group of near copies makes about as many ties as it has members. The ties'
+   connected components hold every link; each is a subtree and its sets come together once.
 3. Signature tree. In a subtree sets are sorted by size and smallest shingles; each tree node holds the OR of its sets'
    bitmaps, their range of sizes, and the most shingles that share a bit in one of its sets. Two nodes are walked together
    from the root; a pair is pruned when no two sets below can overlap enough, or when all of them are one class already.
@@ -42,7 +44,7 @@ from .graph import components
 
 WORDS, PERCENT = 5, 75
 HOT_MOST, HOT_LEAST, HOT_LOCAL, RUN_TOKENS = 200_000, 32, 3, 2_000_000
-EXTRA, GROUP = 8, 64
+EXTRA, EXTRA_SHARE, GROUP = 8, 16, 64
 BLOCK, BLOCK_TOKENS, CALL_TOKENS, PIVOTS, FAN, PARENTS = 1024, 500_000, 400_000, 4, 4, 4096
 BATCH_BYTES, RUN_ROWS, SALTS = 2_000_000, 200_000, 256
 U = np.uint64
@@ -140,11 +142,16 @@ def _frequent(digests: DataFrame) -> np.ndarray:
     return np.sort(rows.to_numpy().astype(np.int64).view(np.uint64))
 
 
+def _least(n):
+    """How many of their first shingles two linked sets share at least, the smaller of n shingles."""
+    return np.minimum(EXTRA + n // EXTRA_SHARE, -(-PERCENT * n // 100))
+
+
 def _first(tokens: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A set's shingles that must meet those of every linked set, and which of them are frequent."""
     n = len(tokens)
     must = -(-PERCENT * n // 100)
-    length = n - must + min(EXTRA, must)
+    length = n - must + int(_least(n))
     is_hot = hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens if len(hot) else np.zeros(n, bool)
     order = np.argsort(is_hot, kind="stable")[:length]
     return tokens[order], is_hot[order]
@@ -156,21 +163,11 @@ def _range_of(n: np.ndarray | int) -> np.ndarray:
 
 
 def _index(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(token, sid, n): the first shingles of every set, once for each run of texts that has it; n is 0 in ties (a, b).
-
-    A set's frequent first shingles, each with the set's range of sizes and the next, are nodes. Nodes of one set are tied to
-    each other, which a run does once for each pair, and the set to one of them."""
+    """(token, sid, n): the first shingles of every set, once for each run of texts that has it; n < 0 at frequent ones."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, nodes = set(), {}
-
-        def root(x: int) -> int:
-            while nodes.setdefault(x, x) != x:
-                nodes[x] = nodes[nodes[x]]
-                x = nodes[x]
-            return x
-
+        seen = set()
         for b in slices(batches, "text", BATCH_BYTES):
             token, sid, size = [], [], []
             for x in shingles(b.column(0)):
@@ -178,89 +175,123 @@ def _index(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                     if len(seen) < 100_000:
                         seen.add(k)
                     first, h = _first(x, shared.value)
-                    rare = first[~h].view(np.int64)
-                    token.append(rare)
-                    sid.append(np.full(len(rare), k[0]))
-                    size.append(np.full(len(rare), len(x)))
-                    if h.any():
-                        at = _range_of(len(x)).astype(np.uint64) + np.arange(2, dtype=np.uint64)
-                        own = _mix(first[h][:, None] + (at + U(1)) * U(0x9E3779B97F4A7C15)).ravel().view(np.int64).tolist()
-                        ties = [(own[0], k[0])]
-                        for o in own[1:]:
-                            if (u := root(own[0])) != (v := root(o)):
-                                nodes[v] = u
-                                ties.append((own[0], o))
-                        token.append(np.array([t[0] for t in ties]))
-                        sid.append(np.array([t[1] for t in ties]))
-                        size.append(np.zeros(len(ties), np.int64))
-                    if len(nodes) > 500_000:
-                        nodes.clear()
+                    token.append(first)
+                    sid.append(np.full(len(first), k[0]))
+                    size.append(np.where(h, -len(x), len(x)))
             if token:
-                yield pa.record_batch([pa.array(np.concatenate(token)), pa.array(np.concatenate(sid)), pa.array(np.concatenate(size).astype(np.int32))], names=["token", "sid", "n"])
+                yield pa.record_batch([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(sid)), pa.array(np.concatenate(size).astype(np.int32))], names=["token", "sid", "n"])
 
     return docs.select("text").mapInArrow(run, "token long, sid long, n int")
 
 
-def _pairs(token: np.ndarray, sid: np.ndarray, n: np.ndarray, begun: bool = False) -> list[np.ndarray]:
-    """Pairs of sets that meet at rows sorted by token and size: a, b, smaller k, times met; ties of large groups have k 0.
+def _pairs(token: np.ndarray, sid: np.ndarray, n: np.ndarray, begun: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
+    """Meetings at rows sorted by token and size: pairs (a, b, smaller k, times met) of small groups, and the rows of large ones.
 
     ``begun``: the first token's rows are the rest of a large group."""
-    start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    length = np.diff(np.r_[start, len(token)])
+    start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, int)
+    rows = np.diff(np.r_[start, len(token)])
+    length = rows.copy()
     if begun and len(length):
         length[0] += GROUP + 1
-    out_a, out_b, tie = [], [], []
-    group = np.repeat(length, np.diff(np.r_[start, len(token)]))
-    for gap in range(1, min(int(length.max(initial=0)), GROUP)):
+    length[n[start] < 0] = GROUP + 1
+    group = np.repeat(length, rows)
+    out_a, out_b = [np.zeros(0, int)], [np.zeros(0, int)]
+    for gap in range(1, int(length[length <= GROUP].max(initial=0))):
         near = np.flatnonzero((token[gap:] == token[:-gap]) & (group[gap:] <= GROUP))
         out_a.append(near)
         out_b.append(near + gap)
-        tie.append(np.zeros(len(near), bool))
-    chain = np.flatnonzero((token[1:] == token[:-1]) & (group[1:] > GROUP))
-    a, b = np.concatenate([*out_a, chain]), np.concatenate([*out_b, chain + 1])
-    tie = np.concatenate([*tie, np.ones(len(chain), bool)])
+    a, b = np.concatenate(out_a), np.concatenate(out_b)
     fits = (100 * n[a].astype(np.int64) >= PERCENT * n[b].astype(np.int64)) & (sid[a] != sid[b])
-    a, b, tie = a[fits], b[fits], tie[fits]
-    k = np.where(tie, 0, np.minimum(EXTRA, -(-PERCENT * n[a].astype(np.int64) // 100)))
+    a, b = a[fits], b[fits]
+    k = _least(n[a].astype(np.int64))
     lo, hi = np.minimum(sid[a], sid[b]), np.maximum(sid[a], sid[b])
     order = np.lexsort((hi, lo))
     lo, hi, k = lo[order], hi[order], k[order]
     new = np.flatnonzero(np.r_[True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]) if len(lo) else np.zeros(0, int)
-    return [lo[new], hi[new], np.minimum.reduceat(k, new) if len(new) else k, np.diff(np.r_[new, len(lo)])]
+    return [lo[new], hi[new], np.minimum.reduceat(k, new) if len(new) else k, np.diff(np.r_[new, len(lo)])], np.flatnonzero(group > GROUP)
 
 
-def _candidates(index: DataFrame) -> DataFrame:
-    """(a, b): ties between sets, or sets and nodes, whose connected components hold every link, written."""
+def _meetings(index: DataFrame) -> DataFrame:
+    """Written: pairs (a, b, k, met) of sets, and each set's common first shingles as (sid, token, k, -range of sizes - 1)."""
 
     def told(cols: list[np.ndarray], begun: bool) -> pa.RecordBatch:
         token, sid, n = cols
         once = np.r_[True, (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])] if len(token) else np.zeros(0, bool)
-        met, ready = once & (n > 0), once & (n == 0)
-        pairs = _pairs(token[met], sid[met], n[met], begun)
-        zero = np.zeros(int(ready.sum()), np.int64)
-        cols = [np.concatenate([p, r]) for p, r in zip(pairs, [token[ready], sid[ready], zero, zero], strict=True)]
+        token, sid, n = token[once], sid[once], n[once]
+        pairs, common = _pairs(token, sid, n, begun)
+        size = np.abs(n[common].astype(np.int64))
+        cols = [np.concatenate([p, r]) for p, r in zip(pairs, [sid[common], token[common], _least(size), -1 - _range_of(size)], strict=True)]
         return pa.record_batch([pa.array(x.astype(np.int64)) for x in cols], names=["a", "b", "k", "met"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, begun = [np.zeros(0, np.int64)] * 3, False
+        rest, last = [np.zeros(0, np.int64)] * 3, None
         for b in batches:
             cols = [np.concatenate([r, b.column(k).to_numpy()]) for k, r in enumerate(rest)]
-            # The last token's rows wait for the next batch. A very long run is cut: its parts are told as parts of a large
-            # group and overlap by one row.
-            cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
+            if not len(cols[0]):
+                continue
+            # The last token's rows wait for the next batch. A very long run is cut; its parts are parts of a large group.
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))
             long = cut == 0 and len(cols[0]) > RUN_ROWS
             if cut or long:
-                yield told([x[:cut] if cut else x for x in cols], begun or long)
-                begun, cut = long, cut or len(cols[0]) - 1
+                yield told([x[:cut] if cut else x for x in cols], long or last == cols[0][0])
+                last, cut = cols[0][-1] if long else None, cut or len(cols[0])
             rest = [x[cut:] for x in cols]
         if len(rest[0]):
-            yield told(rest, begun)
+            yield told(rest, last == rest[0][0])
 
-    # Ties are spread: one node may have very many.
-    salt = F.when(F.col("n") == 0, F.pmod(F.xxhash64("sid"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    # Frequent shingles are spread.
+    salt = F.when(F.col("n") < 0, F.pmod(F.xxhash64("sid"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
     met = index.repartition("token", salt).sortWithinPartitions("token", "n", "sid").mapInArrow(meet, "a long, b long, k long, met long")
-    met = met.groupBy("a", "b").agg(F.min("k").alias("k"), F.sum("met").alias("met")).filter(F.col("met") >= F.col("k")).select("a", "b")
-    return materialize(met, "shingle-candidates")
+    return materialize(met, "shingle-meetings")
+
+
+def _nodes(common: DataFrame) -> DataFrame:
+    """(a, b): ties of sets by their common first shingles (sid, token, range). Nodes that a set ties are tied once by a run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, last = {}, {}
+
+        def root(x: int) -> int:
+            while nodes.setdefault(x, x) != x:
+                nodes[x] = nodes[nodes[x]]
+                x = nodes[x]
+            return x
+
+        for b in batches:
+            sid, token, at = (b.column(k).to_numpy() for k in range(3))
+            both = np.arange(2, dtype=np.uint64)[None] + at.astype(np.uint64)[:, None] + U(1)
+            own = _mix(token.view(np.uint64)[:, None] + both * U(0x9E3779B97F4A7C15)).view(np.int64)
+            ties = []
+            for s, (one, two) in zip(sid.tolist(), own.tolist(), strict=True):
+                if s not in last:
+                    last = {s: one}
+                    ties.append((one, s))
+                for o in (one, two):
+                    if (u := root(last[s])) != (v := root(o)):
+                        nodes[v] = u
+                        ties.append((last[s], o))
+            if len(nodes) > 500_000:
+                nodes.clear()
+            if ties:
+                yield pa.record_batch([pa.array([t[k] for t in ties], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return common.select("sid", "token", "at").repartition("sid").sortWithinPartitions("sid").mapInArrow(run, "a long, b long")
+
+
+def _candidates(index: DataFrame) -> DataFrame:
+    """(a, b): ties between sets, or sets and nodes, whose connected components hold every link, written."""
+    meetings = _meetings(index)
+    common = meetings.filter("met < 0").select(F.col("a").alias("sid"), F.col("b").alias("token"), "k", (-F.col("met") - 1).alias("at"))
+    held = materialize(common.groupBy("sid").agg(F.count("*").alias("h"), F.max("k").alias("least")), "shingle-common")
+    pairs = meetings.filter("met > 0").groupBy("a", "b").agg(F.min("k").alias("k"), F.sum("met").alias("met"))
+    one, two = (held.select(F.col("sid").alias(f"{x}_sid"), F.col("h").alias(f"{x}_h")) for x in "ab")
+    pairs = pairs.join(one, F.col("a") == F.col("a_sid"), "left").join(two, F.col("b") == F.col("b_sid"), "left")
+    spare = F.least(F.coalesce("a_h", F.lit(0)), F.coalesce("b_h", F.lit(0)))
+    pairs = pairs.filter(F.col("met") >= F.greatest(F.lit(1), F.col("k") - spare)).select("a", "b")
+    ties = _nodes(common.join(held.filter("h >= least").select("sid"), "sid", "left_semi"))
+    out = materialize(pairs.unionByName(ties), "shingle-candidates")
+    release(meetings, held)
+    return out
 
 
 class Classes:
