@@ -3,7 +3,8 @@
 Training time runs from 0 to 1. Each source has a schedule of weights over time, linear between knots; its integral is
 the source's share. Cumulative token demand, target times the integral up to t, is inverted at each document's place in
 its source's token order: the moment at which the source has asked for that many tokens is the document's position.
-Documents are range-sorted by it. A source that must give more than it has passes again over its documents.
+Documents are range-sorted by it. A source that must give more than it has passes again over its documents; the copy of a
+later pass has the position at which the source has asked for all passes before it as well.
 
 Targets: the sizes' total is shared by weight, a source stops at ``max_epochs`` times its size, and the excess is shared
 again by weight until none is above. Order within a source is by the MD5 of doc_id, so reruns agree.
@@ -82,9 +83,9 @@ def placed(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, schedules: dict | None = None) -> DataFrame:
-    """One row per document: doc_id, text_hash, size, source_size, target, epochs (times it is taken), taken, position.
+    """One row per document: doc_id, text_hash, size, source_size, target, epochs (times it is taken), taken, positions.
 
-    ``position`` is that of its first copy in billionths of the run, null where it is not taken.
+    ``positions`` has one for each copy, in billionths of the run, empty where the document is not taken.
     """
     schedules = schedules or SCHEDULES
     rows = placed(docs)
@@ -96,18 +97,22 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, schedules: dict | None =
     rest = F.col("target") - (F.col("full") * F.col("source_size")).cast("double")
     more = (2 * F.col("before") + F.col("size")).cast("double") <= 2 * rest
     j = j.withColumn("epochs", F.when(F.col("size") == 0, F.lit(0)).otherwise(F.least(F.col("full") + more.cast("long"), F.lit(max_epochs))).cast("long"))
-    share = F.least(F.col("before").cast("double") / F.col("target"), F.lit(1.0))
-    time = None
-    for weight, knots in schedules.items():
-        time = F.when(F.col("weight") == weight, inverse(knots, share)) if time is None else time.when(F.col("weight") == weight, inverse(knots, share))
-    position = F.when(F.col("epochs") > 0, F.floor(time * F.lit(1e9)))
-    return j.select("doc_id", "text_hash", "size", "source_size", "target", "weight", "before", "epochs", (F.col("size") * F.col("epochs")).alias("taken"), position.alias("position"))
+
+    def at(copy: Column) -> Column:
+        share = F.least((copy * F.col("source_size") + F.col("before")).cast("double") / F.col("target"), F.lit(1.0))
+        time = None
+        for weight, knots in schedules.items():
+            time = F.when(F.col("weight") == weight, inverse(knots, share)) if time is None else time.when(F.col("weight") == weight, inverse(knots, share))
+        return F.floor(time * F.lit(1e9))
+
+    positions = F.when(F.col("epochs") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1), at)).otherwise(F.array().cast("array<bigint>"))
+    return j.select("doc_id", "text_hash", "size", "source_size", "target", "weight", "before", "epochs", (F.col("size") * F.col("epochs")).alias("taken"), positions.alias("positions"))
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
-    """Every document with what the mix takes of it, range-sorted by training position."""
+    """Every document with what the mix takes of it and its copies' positions, range-sorted by that of the first."""
     out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
-    out = out.select("doc_id", "size", "source_size", "target", "taken", "position")
+    out = out.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"), F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
     return out.repartitionByRange(F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
 
 
@@ -117,12 +122,12 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     # Rows that are equal in id and text differ in their places only; they are numbered to be told apart.
     same = Window.partitionBy("doc_id", "text_hash").orderBy("before")
     m = m.withColumn("__m_k", F.row_number().over(same)).filter("epochs > 0")
-    m = m.select(F.col("doc_id").alias("__m_id"), F.col("text_hash").alias("__m_hash"), "__m_k", F.col("epochs").alias("__m_epochs"), F.col("position").alias("__m_at"))
+    m = m.select(F.col("doc_id").alias("__m_id"), F.col("text_hash").alias("__m_hash"), "__m_k", F.col("positions").alias("__m_positions"))
     own = docs.withColumn("__m_own", F.xxhash64("text"))
     own = own.withColumn("__m_n", F.row_number().over(Window.partitionBy("doc_id", "__m_own").orderBy(F.xxhash64(*docs.columns))))
     j = own.join(m, own["doc_id"].eqNullSafe(m["__m_id"]) & (own["__m_own"] == m["__m_hash"]) & (own["__m_n"] == m["__m_k"]))
-    j = j.withColumn("__m_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__m_epochs"))))
-    return j.repartitionByRange("__m_copy", "__m_at", "doc_id").sortWithinPartitions("__m_copy", "__m_at", "doc_id").select(*docs.columns)
+    j = j.withColumn("__m_at", F.explode("__m_positions"))
+    return j.repartitionByRange("__m_at", "doc_id").sortWithinPartitions("__m_at", "doc_id").select(*docs.columns)
 
 
 def mix_sql(table: str, max_epochs: int = MAX_EPOCHS) -> str:
@@ -141,11 +146,13 @@ def mix_sql(table: str, max_epochs: int = MAX_EPOCHS) -> str:
     m_t as (select source, source_size, weight, least(cap, (select rate from m_step where rate <= level order by level, source nulls last limit 1) * weight) as target from m_step),
     m_at as (select r.*, source_size, weight, target, coalesce(sum(size) over (partition by r.source order by md, doc_id nulls first, size rows between unbounded preceding and 1 preceding), 0)::bigint as before,
       case when source_size > 0 then floor(target / source_size)::bigint else 0 end as whole from m_rows r join m_t t on r.source is not distinct from t.source),
-    m_e as (select *, case when size = 0 then 0 else least(whole + (case when (2 * before + size)::double <= 2 * (target - (whole * source_size)::double) then 1 else 0 end), {max_epochs}) end as epochs,
-      least(before::double / target, 1.0::double) as y from m_at),
-    mixed as (select *, (size * epochs)::bigint as taken, case when epochs > 0 then floor(least(greatest(case {' '.join(arms)} end, 0.0::double), 1.0::double) * 1e9)::bigint end as position from m_e)"""
+    m_e as (select *, case when size = 0 then 0 else least(whole + (case when (2 * before + size)::double <= 2 * (target - (whole * source_size)::double) then 1 else 0 end), {max_epochs}) end as epochs
+      from m_at),
+    m_copy as (select mid, weight, least((e * source_size + before)::double / target, 1.0::double) as y from (select *, unnest(range(0, epochs)) as e from m_e)),
+    m_pos as (select mid, list_sort(list(floor(least(greatest(case {' '.join(arms)} end, 0.0::double), 1.0::double) * 1e9)::bigint)) as p from m_copy group by mid),
+    mixed as (select m_e.*, (size * epochs)::bigint as taken, p[1] as position, coalesce(array_to_string(p, ','), '') as positions from m_e left join m_pos using (mid))"""
 
 
-ORACLE = f"with {mix_sql('documents')} select doc_id, size, source_size, target, taken, position from mixed"
+ORACLE = f"with {mix_sql('documents')} select doc_id, size, source_size, target, taken, position, positions from mixed"
 QUERIES = {"op2_mixing": op2_mixing}
 ORACLES = {"op2_mixing": ORACLE}
