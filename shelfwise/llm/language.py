@@ -17,7 +17,6 @@ gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +39,11 @@ FAMILIES = {
 }
 FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes}
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is of a Unicode letter category."""
+    return any(map(str.isalpha, text))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -167,7 +170,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Hierarchy | None:
     some = labelled.join(F.broadcast(steps), "lang").filter((F.pmod("h", "step") == 0) | (F.col("h") == F.col("least")))  # one row a language
     some = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
     rows = some.filter(F.col("k") <= 2 * each).select("doc_id", "text", "lang").collect()
-    rows = sorted({(r.doc_id or 0, r.text, r.lang) for r in rows if LETTER.search(r.text)})
+    rows = sorted({(r.doc_id or 0, r.text, r.lang) for r in rows if has_letter(r.text)})
     return Hierarchy([r[1] for r in rows], [r[2] for r in rows]) if rows else None
 
 
@@ -178,7 +181,7 @@ def identify(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 2_000_000):
             texts = b.column(1)
-            good = np.array([x is not None and LETTER.search(x) is not None for x in texts.to_pylist()], bool)
+            good = np.array([x is not None and has_letter(x) for x in texts.to_pylist()], bool)
             pred, score = (shared.value.predict(texts) if shared.value else ([UNKNOWN] * len(texts), np.zeros(len(texts))))
             yield pa.record_batch([b.column(0), pa.array([p if g else UNKNOWN for p, g in zip(pred, good, strict=True)], pa.string()), pa.array(np.where(good, score, 0.0), pa.float64())], names=["doc_id", "lang_pred", "score"])
 

@@ -32,6 +32,10 @@ def test_language_edge_cases(spark, tmp_path):
     assert language.identify(df.limit(0), model).count() == 0
 
 
+def test_letters():
+    assert [language.has_letter(t) for t in ("½ ² Ⅷ 12_", "", "3d", "ª", "漢", "①")] == [False, False, True, True, True, False]
+
+
 def test_rare_languages_are_learned(spark):
     rows = [(k, f"the house and the dog number {k}", "en") for k in range(2500)] + [(k, f"la maison et le chien sont ici {k}", "fr") for k in range(2500, 4000)]
     rows += [(k, f"talo ja koira ovat metsässä {k}", "fi") for k in range(4000, 4006)]
