@@ -47,7 +47,8 @@ def boilerplate(places: DataFrame, sites: int) -> DataFrame:
     sure = F.col("about") > sites * (1 + BAND)
     near = sketched.filter(~sure).select("key", "key2", "first")
     # Only lines near the threshold are gathered again, one row for each of their sites.
-    again = places.join(near.select("key", "key2"), ["key", "key2"], "left_semi").groupBy("key", "key2", site.alias("site")).agg(F.lit(1).alias("one"))
+    hit = join_lookup(places, near.select(F.col("key").alias("n1"), F.col("key2").alias("n2")), [("key", "n1"), ("key2", "n2")]).filter(F.col("n1").isNotNull())
+    again = hit.groupBy("key", "key2", site.alias("site")).agg(F.lit(1).alias("one"))
     exact = again.groupBy("key", "key2").agg(F.count("*").alias("sites")).filter(F.col("sites") >= sites)
     return materialize(sketched.filter(sure).select("key", "key2", "first").unionByName(near.join(exact, ["key", "key2"], "left_semi")), "boilerplate")
 
@@ -58,7 +59,7 @@ def removals(docs: DataFrame, sites: int = SITES, min_words: int = MIN_WORDS) ->
     bad = boilerplate(places, sites).select(F.col("key").alias("b1"), F.col("key2").alias("b2"), "first")
     hit = join_lookup(places, bad, [("key", "b1"), ("key2", "b2")]).filter(F.col("first").isNotNull())
     hit = hit.filter(~(F.col("first.doc").eqNullSafe(F.col("doc")) & (F.col("first.no") == F.col("no"))))
-    return hit.groupBy("doc", "text_hash").agg(F.collect_set("no").alias("gone"))
+    return hit.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_set("no")).alias("gone"))
 
 
 def dedup(docs: DataFrame, sites: int = SITES, min_words: int = MIN_WORDS, text: str = "text", doc_id: str = "doc_id", site: str = "source") -> DataFrame:
@@ -68,7 +69,10 @@ def dedup(docs: DataFrame, sites: int = SITES, min_words: int = MIN_WORDS, text:
     left = docs.withColumn(f"{P}own", F.xxhash64(docs[text]))
     out = left.join(gone, left[doc_id].eqNullSafe(gone[f"{P}doc"]) & (left[f"{P}own"] == gone[f"{P}hash"]), "left")
     lines, lost = _lines(F.col(text)), F.col(f"{P}gone")
-    kept = F.when(lost.isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, lambda x, k: ~F.array_contains(lost, k)), "\n"))
+    # One place for each line up to the last that goes, so that no line looks through them all.
+    at = F.transform(lost, lambda x, k: F.struct(x.alias("to"), (x - F.coalesce(F.get(lost, k - 1), F.lit(-1)) - 1).alias("stay")))
+    out = out.withColumn(f"{P}map", F.flatten(F.transform(at, lambda g: F.concat(F.array_repeat(F.lit(None).cast("int"), g["stay"]), F.array(g["to"])))))
+    kept = F.when(lost.isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, lambda x, k: F.get(F.col(f"{P}map"), k).isNull()), "\n"))
     counts = {f"{P}n_lines": F.coalesce(F.size(lines), F.lit(0)), f"{P}n_removed": F.coalesce(F.size(lost), F.lit(0)), f"{P}kept": kept}
     out = out.withColumns({k: F.when(F.col(text).isNull(), F.lit(0)).otherwise(c) if k.endswith(("lines", "removed")) else c for k, c in counts.items()})
     return out.select(*[F.col(f"{P}kept").alias(c) if c == text else docs[c] for c in docs.columns], f"{P}n_lines", F.greatest(f"{P}n_removed", F.lit(0)).alias(f"{P}n_removed"))
