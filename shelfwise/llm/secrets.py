@@ -1,8 +1,8 @@
 """Secret scans with corpus-wide ownership frequency (operator 9, DataFrame functions only).
 
 Candidates of several kinds are found in every whole text. Their values' hashes are counted over the whole corpus by
-distinct repositories and owners: a value that many owners hold is a widely copied example, one that few hold is an
-owner-specific credential and looks live. Spans of the base kinds always stay; spans of the other kinds count only
+distinct repositories and owners: a value that many owners or very many repositories hold is a widely copied example, one
+that few hold is an owner-specific credential and looks live. Spans of the base kinds always stay; spans of the other kinds count only
 where the corpus says that they look live and where no base span overlaps them.
 
 Here a document is a repository and its source the owner; :func:`scan` takes other columns.
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize
+from .common import join_lookup, let, materialize
 
 # The base patterns.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -34,6 +34,8 @@ ADDED = {
 KINDS = [*BASE, *ADDED]
 #: A value that this many owners hold is a widely copied example.
 EXAMPLE_OWNERS = 3
+#: So is one that this many repositories hold, whoever owns them.
+EXAMPLE_REPOS = 50
 SPAN = "array<struct<start:bigint,end:bigint,kind:int,value:string>>"
 
 
@@ -89,7 +91,7 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
 
 
-def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: str = "source", repo: str | None = None, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: str = "source", repo: str | None = None, example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """(doc_id, base, spans) of every row.
 
     ``base`` holds the base spans in order, ``spans`` all of them with ``owners``, ``repos`` and ``live``.
@@ -99,9 +101,11 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: str
     table = materialize(row, "secrets-spans")  # row numbers are fixed from here on
     each = table.filter((F.size("base") > 0) | (F.size("added") > 0)).select("rid", "owner", "repo", F.explode(F.concat("base", "added")).alias("s"))
     each = each.select("rid", "owner", "repo", F.sha2("s.value", 256).alias("hash"), F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"))
-    counted = ownership(each.select("hash", "owner", "repo"))
-    judged = each.select("rid", "hash", "start", "kind", "end").join(counted, "hash", "left")
-    live = F.col("owners") < example_owners
+    # Only values that are found in two repositories or more; a copied example is the hottest of all and is never shuffled by its hash.
+    counted = materialize(ownership(each.select("hash", "owner", "repo")).filter("repos > 1").withColumnRenamed("hash", "known"), "secrets-shared")
+    judged = join_lookup(each.select("rid", "hash", "start", "kind", "end"), counted, [("hash", "known")])
+    judged = judged.withColumns({"owners": F.coalesce("owners", F.lit(1).cast("long")), "repos": F.coalesce("repos", F.lit(1).cast("long"))})
+    live = (F.col("owners") < example_owners) & (F.col("repos") < example_repos)
     per_row = judged.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "owners", "repos", live.alias("live")))).alias("all"))
     out = table.select("rid", "doc_id").join(per_row, "rid", "left")
     every = F.coalesce(F.col("all"), F.array().cast("array<struct<start:bigint,kind:int,end:bigint,owners:bigint,repos:bigint,live:boolean>>"))
@@ -145,8 +149,8 @@ def _sql() -> str:
     {hits('e', added, added_kind, 'hit', "kind <> 7 or (regexp_matches(v, '[0-9]') and regexp_matches(v, '[a-z]') and regexp_matches(v, '[A-Z]'))")},
     base as (select * from a union all select * from b union all select * from c),
     every as (select * from base union all select * from e),
-    freq as (select v, count(distinct coalesce(source, '-none-')) as owners from every group by v),
-    judged as (select every.*, owners < {EXAMPLE_OWNERS} as live from every join freq using (v)),
+    freq as (select v, count(distinct coalesce(source, '-none-')) as owners, count(distinct coalesce(doc_id::varchar, '-') || ' ' || coalesce(source, '-none-')) as repos from every group by v),
+    judged as (select every.*, owners < {EXAMPLE_OWNERS} and repos < {EXAMPLE_REPOS} as live from every join freq using (v)),
     kept as (select j.* from judged j where kind < 3 or (live and not exists (select 1 from base b where b.rid = j.rid and b.start < j.stop and j.start < b.stop))),
     x as (select rid, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex, {shown('base')} as s from base group by rid),
     y as (select rid, {shown('kept')} as spans, count(*) filter (live) as n_live, count(*) filter (not live) as n_example from kept group by rid)
