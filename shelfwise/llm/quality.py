@@ -151,8 +151,9 @@ def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: the documents that pass, with their own columns only."""
-    return judge(docs).filter(f"`{PREFIX}kept`").select(*docs.columns)
+    """Pipeline stage: the documents that pass, with their own columns only. They are written once beside their counts."""
+    table = materialize(measured(docs).filter(~F.col(f"{PREFIX}base_failed")), "quality-counted")
+    return verdicts(table).filter(f"`{PREFIX}kept`").select(*docs.columns)
 
 
 _SQL_FENCE = {
