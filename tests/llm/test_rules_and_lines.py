@@ -89,3 +89,42 @@ def test_first_place_of_a_shared_line_stays(spark, tables):
     out = lines.dedup(spark.read.parquet(f"{path}/documents.parquet")).filter("doc_id between 100 and 123").orderBy("doc_id").collect()
     assert [SHARED in r.text for r in out] == [True] + [False] * 23
     assert "n_words" in out[0] and out[0].kept == "x"
+
+
+def test_every_tenth_of_the_run_follows_the_schedules(spark):
+    """Repeats as well: the first source must give three times its words, rising or falling with its own schedule."""
+    rows = [(k, "w " * 10, "abc"[min(k % 40, 2) if k % 40 < 2 else 2]) for k in range(4000)]
+    m = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert max(r.epochs for r in m) == 3
+    for weight in (1, 2, 3):
+        mine = [r for r in m if r.weight == weight]
+        at = sorted(p for r in mine for p in r.positions)
+        (t0, w0), (t1, w1) = mixing.SCHEDULES[weight]
+        area = lambda t: w0 * t + (w1 - w0) * t * t / 2
+        for tenth in range(10):
+            here = sum(tenth * 1e8 <= p < (tenth + 1) * 1e8 for p in at)
+            assert abs(here - len(at) * (area((tenth + 1) / 10) - area(tenth / 10)) / area(1)) <= 3
+    for r in m:
+        assert len(r.positions) == r.epochs and r.positions == sorted(r.positions)
+
+
+def test_a_value_of_very_many_repositories_is_an_example(spark, monkeypatch):
+    """A third of all rows hold one value; it is split over salts when the table of values is too large to send."""
+    rows = [(k, f"token = '{'samesecret99' if k % 3 == 0 else f'own{k}secret'}'", "one owner") for k in range(400)]
+    df = spark.createDataFrame([(*r, 0, "x") for r in rows], "doc_id long, text string, source string, start int, hash string")
+    plain = secrets.join_lookup
+    for limit in (50_000, 0):
+        monkeypatch.setattr(secrets, "join_lookup", lambda a, b, keys, limit=limit: plain(a, b, keys, limit))
+        got = {r.doc_id: r.spans[0] for r in secrets.scan(df).collect()}
+        assert all(got[k].live == (k % 3 != 0) for k in range(400))
+        assert got[0].repos == 134 and got[0].owners == 1 and got[1].repos == 1
+
+
+def test_one_line_in_a_third_of_the_rows(spark, monkeypatch):
+    plain = lines.join_lookup
+    rows = [(k, f"{SHARED if k % 3 == 0 else f'a line of its own with number {k}'}\nsecond line of document number {k}", f"s{k % 3 + k % 4}") for k in range(300)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, key int")
+    for limit in (50_000, 0):
+        monkeypatch.setattr(lines, "join_lookup", lambda a, b, keys, limit=limit: plain(a, b, keys, limit))
+        out = {r.doc_id: r.text for r in lines.dedup(df).collect()}
+        assert [k for k in range(300) if SHARED in out[k]] == [0] and out[3] == "second line of document number 3"
