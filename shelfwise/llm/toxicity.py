@@ -2,14 +2,17 @@
 
 Grades 0, 1 and 2 are ordered; P(grade <= k) = sigmoid(cut_k - score), with one weight per feature shared by all cuts.
 A text's features are its whole words and the first 4, 5 and 6 letters of its words; a weight counts once for every time
-its feature occurs. The output is the expected severity, the most likely grade, and P(grade >= 1).
+its feature occurs, and each word costs a learned constant, what clean text gathers by chance. The sum is divided by
+sqrt(1 + words / ``LENGTH``), as chance grows with the root of the length: a long text is not toxic for being long. The
+output is the expected severity, the most likely grade, and P(grade >= 1).
 
 ``labels`` has toxic as 0 or 1. Its documents get training grades: 0 where not toxic; a toxic one is 2 where it has more
 telling words than the median of the toxic ones, else 1. Features are those whose document frequency among toxic
 rows is significantly above that among the others (likelihood ratio), at most ``FEATURES``. Learning uses at most about
 ``SAMPLE`` labelled rows of each kind, picked by a hash of doc_id; every row is scored.
 
-Defined cases: a null or empty text scores as one without features; without labelled rows, or without both kinds, every
+Defined cases: a null or empty text scores as one without features; a very long text is read whole and judged by the
+same measure as a short one; without labelled rows, or without both kinds, every
 severity is 0; rows with a null label do not count; repeated rows get equal answers; an empty table gives an empty
 result; other columns are not read.
 """
@@ -25,11 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, slices
+from .quality import words
 
 SAMPLE, FEATURES, LEAST_DOCS, LEAST_RATIO, LEAST_GAIN = 5000, 2000, 4, 5.0, 18.0
 STEMS = (4, 5, 6)
 EDGES = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum()) + "…“”„‘’«»¡¿—–"
-GRADES = 3
+GRADES, LENGTH = 3, 100.0
+
+
+def shrink(words: np.ndarray) -> np.ndarray:
+    """What a text's sum is multiplied by."""
+    return 1 / np.sqrt(1 + words / LENGTH)
 
 
 def keys(word: str) -> list[str]:
@@ -46,8 +55,9 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
     # At most about twice ``size`` ids of each kind by the steps above, so this side is bounded.
     ids = known.filter(F.pmod(F.xxhash64("doc_id"), step) == 0).limit(4 * size)
     picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    bare = F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: F.btrim(w, F.lit(EDGES)))
-    return materialize(picked.select("doc_id", (F.col("toxic") > 0).alias("toxic"), F.array_remove(bare, "").alias("words")), "toxic-sample")
+    every = words(F.lower(F.coalesce("text", F.lit(""))))
+    bare = F.transform(every, lambda w: F.btrim(w, F.lit(EDGES)))
+    return materialize(picked.select("doc_id", (F.col("toxic") > 0).alias("toxic"), F.array_remove(bare, "").alias("words"), F.size(every).alias("size")), "toxic-sample")
 
 
 def choose(rows: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
@@ -82,11 +92,11 @@ class Sparse:
         return np.bincount(self.col, self.value * g[self.row], self.shape[1])
 
 
-def fit_ordinal(x: Sparse | np.ndarray, y: np.ndarray, grades: int = GRADES, steps: int = 1500, penalty: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: Sparse | np.ndarray, y: np.ndarray, grades: int = GRADES, steps: int = 1500, penalty: float = 1e-5, free: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Shared weights and ordered cuts by full-batch Adam on the log-likelihood; cuts stay ordered by positive gaps.
 
-    Rows of grade 0 and rows above it weigh the same in all. No weight is negative: every feature was chosen for being
-    more frequent in toxic rows."""
+    Rows of grade 0 and rows above it weigh the same in all. No weight is negative, as every feature was chosen for being
+    more frequent in toxic rows, but that of the last column is free where ``free`` says so."""
     x = Sparse.of(x) if isinstance(x, np.ndarray) else x
     n, d = x.shape
     weigh = np.where(y > 0, n / (2 * max((y > 0).sum(), 1)), n / (2 * max((y == 0).sum(), 1)))
@@ -107,15 +117,15 @@ def fit_ordinal(x: Sparse | np.ndarray, y: np.ndarray, grades: int = GRADES, ste
         g = np.concatenate([-x.turned_times(du - dl) / n - penalty * w, [g_cuts.sum()], [g_cuts[k + 1 :].sum() * gaps[k] for k in range(grades - 2)]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         params = params + 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        params[:d] = np.maximum(params[:d], 0.0)
+        params[: d - free] = np.maximum(params[: d - free], 0.0)
     return params[:d], params[d] + np.r_[0.0, np.cumsum(np.exp(params[d + 1 :]))]
 
 
 class Severity:
-    """Feature weights and cuts."""
+    """Feature weights, cuts, and what every ``LENGTH`` words add."""
 
-    def __init__(self, weights: dict[str, float], cuts: np.ndarray):
-        self.weights, self.cuts = weights, cuts
+    def __init__(self, weights: dict[str, float], cuts: np.ndarray, length: float = 0.0):
+        self.weights, self.cuts, self.length = weights, cuts, length
 
     def word(self, word: str) -> float:
         bare = word.strip(EDGES)
@@ -141,18 +151,22 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Severity |
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hits = [[at.value[k] for w in x for k in keys(w) if k in at.value] for x in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array(hits, pa.list_(pa.int32()))], names=["toxic", "hits"])
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(hits, pa.list_(pa.int32()))], names=["toxic", "size", "hits"])
 
     # At most 4 * size rows of the few features they hold.
-    got = sorted((bool(r.toxic), sorted(r.hits)) for r in rows.select("toxic", "words").mapInArrow(count, "toxic boolean, hits array<int>").collect())
+    got = sorted((bool(r.toxic), sorted(r.hits), r.size) for r in rows.select("toxic", "words", "size").mapInArrow(count, "toxic boolean, size int, hits array<int>").collect())
     toxic = np.array([g[0] for g in got])
     telling = np.array([len(g[1]) for g in got])
     row = np.repeat(np.arange(len(got)), telling)
     cell, times = np.unique(row * len(names) + np.array([h for g in got for h in g[1]], np.int64), return_counts=True)
-    x = Sparse(cell // len(names), cell % len(names), np.minimum(times, 20), (len(got), len(names)))
+    size = np.array([g[2] for g in got], np.float64)
+    scale = shrink(size)
+    doc, col = np.r_[cell // len(names), np.arange(len(got))], np.r_[cell % len(names), np.full(len(got), len(names))]
+    x = Sparse(doc, col, np.r_[times, size / LENGTH] * scale[doc], (len(got), len(names) + 1))
+    telling = telling * scale
     y = np.where(toxic, np.where(telling > np.median(telling[toxic]), 2, 1), 0)
-    weights, cuts = fit_ordinal(x, y)
-    return Severity({f: float(w) for f, w in zip(names, weights, strict=True)}, cuts)
+    weights, cuts = fit_ordinal(x, y, free=True)
+    return Severity({f: float(w) for f, w in zip(names, weights, strict=False)}, cuts, min(float(weights[-1]), 0.0))
 
 
 def score(docs: DataFrame, model: Severity | None) -> DataFrame:
@@ -170,14 +184,16 @@ def score(docs: DataFrame, model: Severity | None) -> DataFrame:
                 coded = parts.flatten().dictionary_encode()
                 if len(kept) > 300_000:
                     kept.clear()
-                words = coded.dictionary.to_pylist()
-                for w in words:
+                known = coded.dictionary.to_pylist()
+                for w in known:
                     if w not in kept:
                         kept[w] = m.word(w)
-                worth = np.fromiter((kept[w] for w in words), np.float64, len(words))
-                run_ = np.r_[0.0, np.cumsum(worth[coded.indices.to_numpy(zero_copy_only=False)])]
+                index = coded.indices.to_numpy(zero_copy_only=False)
+                worth = np.fromiter((kept[w] for w in known), np.float64, len(known))[index] if len(known) else np.zeros(0)
+                full = np.fromiter((w != "" for w in known), bool, len(known))[index] if len(known) else np.zeros(0, bool)
                 at = np.r_[0, np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))].astype(np.int64)
-                severity, grade, p = m.expect(run_[at[1:]] - run_[at[:-1]])
+                total, size = (np.diff(np.r_[0.0, np.cumsum(v)][at]) for v in (worth, full))
+                severity, grade, p = m.expect((total + m.length * size / LENGTH) * shrink(size))
             yield pa.record_batch([b.column(0), pa.array(severity, pa.float64()), pa.array(grade.astype(np.int32), pa.int32()), pa.array(p, pa.float64())], names=["doc_id", "severity", "grade", "p_toxic"])
 
     df = docs.select("doc_id", "text")
