@@ -6,13 +6,13 @@ cross into that cell (the hyperplanes between centroids). The two codebooks' sor
 multi-sequence, nearest cells first, out to the radius that reaches ``recall`` for neighbours at exactly the threshold;
 closer neighbours are reached more surely. Every pair that meets in a cell is verified in double precision.
 
-Codebooks, rotation and radius are fitted on at most ``SAMPLE`` vectors (picked by a hash of vec_id); every vector is
-indexed and every vector searches. Cells are worked on in blocks of at most about ``BLOCK`` vectors a side, so one cell
+Codebooks, rotation and radius are fitted on at most ``SAMPLE`` vectors (picked by a hash) of each length; every vector is
+indexed, in the grid of its own length, and every vector searches. Cells are worked on in blocks of at most about ``BLOCK`` vectors a side, so one cell
 that holds a third of all vectors is many tasks. A block returns counts and a spanning set of links, never all pairs.
 
 Defined cases: a vector that is null, empty, zero, or has null or non-finite components links with nothing and is its own
-component; one of another length than most of the sample links with its equals only; equal vectors link with each other; rows that repeat a vec_id
-are vectors of their own and count as others; a null vec_id is a vector without an id, its component is the smallest id
+component; vectors of different lengths have no cosine and do not link; equal vectors link with each other; rows that
+repeat a vec_id are vectors of their own and count as others; a null vec_id is a vector without an id, its component is the smallest id
 it reaches, null if none; an empty table gives an empty result; other columns are not read.
 """
 
@@ -99,6 +99,13 @@ class MultiIndex:
 
 def _unit(column: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors in double precision and which rows have one."""
+    if dim and isinstance(column, pa.ListArray) and not column.null_count and not column.flatten().null_count and (column.value_lengths().to_numpy() == dim).all():
+        v = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        most = np.abs(v).max(axis=1, initial=0.0)
+        good = np.isfinite(most) & (most > 0)
+        v = v / np.where(good, most, 1.0)[:, None]
+        norm = np.linalg.norm(v, axis=1)
+        return np.where(good[:, None], v / np.where(good, norm, 1.0)[:, None], 0.0), good
     rows = column.to_pylist()
     dim = dim or next((len(x) for x in rows if x), 1)
     out, good = np.zeros((len(rows), dim)), np.zeros(len(rows), bool)
@@ -162,27 +169,33 @@ def links(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", t
     n = distinct.count()
     if not n:
         return rows, distinct, spark.createDataFrame([], "row long, count long, to long")
-    part = distinct.filter(F.pmod(F.xxhash64("key"), F.lit(max(1, n // sample))) == 0).limit(2 * sample).orderBy("key")
-    picked = part.select("v").toArrow().column(0).combine_chunks()
-    if not len(picked):
-        picked = distinct.limit(1).select("v").toArrow().column(0).combine_chunks()
-    lengths = picked.value_lengths().to_pylist()
-    dim = max(sorted(set(lengths)), key=lengths.count)
-    unit, good = _unit(picked, dim)
-    index = MultiIndex(unit[good], n, threshold, recall)
-    shared = spark.sparkContext.broadcast(index)
+    # One grid for each length of vectors; a grid's cells have numbers of their own.
+    indexes, cells = {}, 0
+    for dim, many in sorted((r.dim, r["count"]) for r in distinct.groupBy(F.size("v").alias("dim")).count().collect()):
+        same = distinct.filter(F.size("v") == dim)
+        part = same.filter(F.pmod(F.xxhash64("key"), F.lit(max(1, many // sample))) == 0).limit(2 * sample).orderBy("key")
+        picked = part.select("v").toArrow().column(0).combine_chunks()
+        if not len(picked):
+            picked = same.orderBy("key").limit(1).select("v").toArrow().column(0).combine_chunks()
+        unit, good = _unit(picked, dim)
+        indexes[dim] = MultiIndex(unit[good], many, threshold, recall), cells
+        cells += indexes[dim][0].k ** 2
+    shared = spark.sparkContext.broadcast(indexes)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 s = b.slice(at, 2000)
-                unit, good = _unit(s.column(1), m.dim)
-                if good.any():
-                    x, row = unit[good], s.column(0).to_numpy()[good]
-                    cell, (one, two) = m.distances(m.rotate(x))
-                    seen = [v[v >= c] for c, v in ((c, m.visits(o, t)) for c, o, t in zip(cell.tolist(), one, two, strict=True))]
-                    yield pa.record_batch([pa.array(row, pa.int64()), pa.array(list(x), pa.list_(pa.float64())), s.column(2).filter(pa.array(good)), pa.array(cell, pa.int64()), pa.array(seen, pa.list_(pa.int64()))], names=["row", "x", "w", "cell", "visits"])
+                lengths = s.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                for dim in np.unique(lengths).tolist():
+                    m, first = shared.value[dim]
+                    p = s.take(pa.array(np.flatnonzero(lengths == dim)))
+                    unit, good = _unit(p.column(1), dim)
+                    if good.any():
+                        x, row = unit[good], p.column(0).to_numpy()[good]
+                        cell, (one, two) = m.distances(m.rotate(x))
+                        seen = [v[v >= c] + first for c, v in ((c, m.visits(o, t)) for c, o, t in zip(cell.tolist(), one, two, strict=True))]
+                        yield pa.record_batch([pa.array(row, pa.int64()), pa.array(list(x), pa.list_(pa.float64())), p.column(2).filter(pa.array(good)), pa.array(cell + first, pa.int64()), pa.array(seen, pa.list_(pa.int64()))], names=["row", "x", "w", "cell", "visits"])
 
     placed = materialize(distinct.select("row", "v", "n_same").mapInArrow(assign, "row long, x array<double>, w long, cell long, visits array<long>"), "vectors-cells")
     visit = placed.select("row", "x", "w", F.col("cell").alias("own"), F.explode("visits").alias("cell"))
