@@ -1,5 +1,6 @@
 """Held-out accuracy and edge cases of the two classifiers."""
 
+import re
 import zlib
 
 import numpy as np
@@ -72,6 +73,17 @@ def test_toxicity_held_out(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = toxicity.train(docs, labels.filter("doc_id % 2 = 0"))
     rows = toxicity.score(docs, model).join(labels.filter("doc_id % 2 = 1"), "doc_id").collect()
+    # The same by plain Python, and clean texts joined to very long ones.
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").join(labels.filter("doc_id % 2 = 1"), "doc_id").collect()}
+    clean = sorted(r.doc_id for r in rows if not r.toxic)
+    for r in rows[::37]:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", (texts[r.doc_id] or "").lower()) if x]
+        total = sum(model.weights.get(k, 0.0) for x in w for k in toxicity.keys(x.strip(toxicity.EDGES)))
+        s = (total + model.length * len(w) / toxicity.LENGTH) / (1 + len(w) / toxicity.LENGTH) ** 0.5
+        assert r.p_toxic == pytest.approx(1 / (1 + np.exp(model.cuts[0] - s)), abs=1e-6)
+    joined = [(k, " ".join(texts[d] or "" for d in clean[k :: len(clean) // size][:size])) for size in (10, 100) for k in range(min(30, len(clean) // size))]
+    long = toxicity.score(spark.createDataFrame(joined, "doc_id long, text string"), model).collect()
+    assert np.mean([r.p_toxic >= 0.5 for r in long]) <= 0.02
     caught = np.mean([r.p_toxic >= 0.5 for r in rows if r.toxic])
     wrong = np.mean([r.p_toxic >= 0.5 for r in rows if not r.toxic])
     assert caught >= 0.85 and wrong <= 0.02
@@ -86,5 +98,5 @@ def test_toxicity_edge_cases(spark, tmp_path):
     assert toxicity.score(empty, toxicity.Severity({"bad": 3.0}, np.array([1.0, 2.0]))).count() == 0
     one = toxicity.score(spark.createDataFrame([(1, "so BAD, bad!"), (2, "fine"), (3, None)], "doc_id long, text string"), toxicity.Severity({"bad": 3.0}, np.array([1.0, 2.0])))
     p = {r.doc_id: r.p_toxic for r in one.collect()}
-    assert p[1] == pytest.approx(1 / (1 + np.exp(1 - 6))) and p[2] == p[3] == pytest.approx(1 / (1 + np.e))
+    assert p[1] == pytest.approx(1 / (1 + np.exp(1 - 6 / np.sqrt(1.03)))) and p[2] == p[3] == pytest.approx(1 / (1 + np.e))
     assert one.filter(F.col("grade") == 2).count() == 1

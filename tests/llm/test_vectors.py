@@ -48,6 +48,22 @@ def test_against_brute_force(spark):
         assert got == want, recall
 
 
+def test_vectors_of_several_lengths(spark):
+    """Near copies link within each length, the rare ones too; a prefix of another vector does not."""
+    rng = np.random.default_rng(3)
+    rows = [(c + rng.standard_normal(d) * 0.05).tolist() for d, n in ((16, 60), (5, 9), (1, 3), (40, 2)) for c in rng.standard_normal((n, d)) for _ in range(3)]
+    rows += [[*rows[0][:5]], [*rows[0], 0.0]]
+    ids, want_links, want_comp = list(range(len(rows))), np.zeros(len(rows), int), list(range(len(rows)))
+    for d in {len(r) for r in rows}:
+        mine = [k for k in ids if len(rows[k]) == d]
+        links, comp = brute(mine, [rows[k] for k in mine], 0.95)
+        for k, n, c in zip(mine, links, comp, strict=True):
+            want_links[k], want_comp[k] = n, c
+    df = spark.createDataFrame(list(zip(ids, rows, strict=True)), "vec_id long, embedding array<double>").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_dedup(df, recall=1.0).collect()}
+    assert got == {k: (int(want_links[k]), want_comp[k]) for k in ids}
+
+
 def test_blocks_of_a_hot_cell(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 40)
     rng = np.random.default_rng(1)
