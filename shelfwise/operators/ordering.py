@@ -13,10 +13,13 @@ SMALL_BYTES = 64 << 20
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that driver and executors share; a folder of our own only where none is named."""
+    """A new path below the folder that driver and executors share: ``spark.checkpoint.dir``, else the warehouse.
+
+    Only in local mode, where there is one machine, a temporary folder serves where no checkpoint folder is named."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="shelfwise-")
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        base = "file://" + tempfile.mkdtemp(prefix="shelfwise-") if local else spark.conf.get("spark.sql.warehouse.dir")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/shelfwise/{name}-{uuid.uuid4().hex}"
 
@@ -32,14 +35,16 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def with_position(df: DataFrame, order: list[Column], name: str = "pos", small: int = SMALL_BYTES) -> DataFrame:
-    """Each row's 0-based place in the total order, as a long.
+def with_position(df: DataFrame, order: list[Column], name: str = "pos", small: int = SMALL_BYTES, size: int | None = None) -> DataFrame:
+    """Each row's 0-based place in the total order, as a long. ``size``: the input's bytes, where a join hides them.
 
     A large input is range-partitioned on the order and written; each partition numbers its own rows and adds the rows
     of the partitions before it, which is a table of one row per partition. No task sees more than one range.
     """
-    if estimated_bytes(df) <= small:
-        return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+    if (estimated_bytes(df) if size is None else size) <= small:
+        out = df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+        out._one_task = True
+        return out
     ranged = written(df.repartitionByRange(*order).withColumn("__pid", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy("__pid").agg(F.count("*").alias("__n"))
     before = counts.select(F.col("__pid").alias("__p"), (F.sum("__n").over(Window.orderBy("__pid")) - F.col("__n")).alias("__before"))
@@ -76,10 +81,17 @@ def sections(ordered: DataFrame, key: Column, taken: str, pos: str = "pos") -> D
     """Runs of equal ``key`` in the order: key, offset, count and oldest.
 
     A run's start is found by comparing neighbours within fixed stretches of positions; a stretch's first row is
-    compared with the last of the stretch before it, so no task needs the whole order.
+    compared with the last of the stretch before it, so no task needs the whole order. An order that one task has made
+    is cut by one task.
     """
+    if getattr(ordered, "_one_task", False):
+        w = Window.orderBy("pos")
+        rows = ordered.select(F.col(pos).alias("pos"), key.alias("key"), F.col(taken).alias("taken"))
+        new = F.when(F.row_number().over(w) == 1, F.lit(True)).otherwise(~F.col("key").eqNullSafe(F.lag("key").over(w)))
+        runs = rows.withColumn("new", new).withColumn("run", F.count_if("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return runs.groupBy("run").agg(F.first("key").alias("key"), F.min("pos").alias("offset"), F.count("*").alias("count"), F.min("taken").alias("oldest")).drop("run")
     stretch = 1 << 20
-    rows = ordered.select(F.col(pos).alias("pos"), key.alias("key"), F.col(taken).alias("taken")).withColumn("part", F.floor(F.col("pos") / stretch))
+    rows = written(ordered.select(F.col(pos).alias("pos"), key.alias("key"), F.col(taken).alias("taken")), "sections").withColumn("part", F.floor(F.col("pos") / stretch))
     edge = rows.filter(F.col("pos") % stretch == stretch - 1).select((F.col("part") + 1).alias("part"), F.col("key").alias("edge"), F.lit(True).alias("known"))
     w = Window.partitionBy("part").orderBy("pos")
     rows = rows.join(edge, "part", "left")

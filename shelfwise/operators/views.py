@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import hidden, visible
-from .ordering import natural_key, with_position
+from .ordering import estimated_bytes, natural_key, with_position
 
 RECENT = 500
 VIEWS = ["all", "starred", "recent", "search", "person", "album", "tag", "duplicates", "copies", "hidden", "videos"]
@@ -46,7 +46,9 @@ def order(sort: str, folder: str = "folder_path", taken: str = "taken_at", name:
 def placed(rows: DataFrame, sort: str = "date", within: DataFrame | None = None, folder: str = "folder_path", taken: str = "taken_at", **names: str) -> DataFrame:
     """``rows`` with ``oldest`` and ``pos``."""
     grouping = names.pop("grouping", "folder")
-    return with_position(with_oldest(rows, folder, taken, within), order(sort, folder, taken, grouping=grouping, **names))
+    # The optimizer multiplies the sides of the join that follows; the rows themselves say how much there is to order.
+    size = estimated_bytes(rows)
+    return with_position(with_oldest(rows, folder, taken, within), order(sort, folder, taken, grouping=grouping, **names), size=size)
 
 
 def recent(rows: DataFrame, taken: str = "taken_at", name: str = "file_name", key: str = "id", n: int = RECENT) -> DataFrame:
