@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -53,12 +56,33 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
 
 
-def bands(bits: Column, distance: int, width: int = 64) -> Column:
-    """Band keys of a 64-bit hash: with distance + 1 bands, two hashes that close agree in one of them."""
-    n = distance + 1
-    edges = [k * width // n for k in range(n + 1)]
-    cut = lambda lo, hi: F.shiftrightunsigned(bits, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
-    return F.array(*[F.struct(F.lit(k).alias("band"), cut(edges[k], edges[k + 1]).alias("part")) for k in range(n) if edges[k + 1] > edges[k]])
+def band_plan(distance: int, width: int = 64, most: int = 512) -> tuple[list[int], int]:
+    """Edges of bands of a hash, and how many bits of a band are turned in search.
+
+    Two hashes that close differ in at most ``distance // bands`` bits of some band. Of all numbers of bands whose search
+    keys number ``most`` or fewer for a hash, the one that meets the fewest hashes by chance.
+    """
+    best = None
+    for n in range(1, min(distance + 1, width) + 1):
+        keys = [sum(comb(w, i) for i in range(distance // n + 1)) for w in (width // n, -(-width // n))]
+        if n * keys[1] <= most and (best is None or n * keys[0] / 2 ** (width // n) < best[0]):
+            best = n * keys[0] / 2 ** (width // n), n
+    n = best[1] if best else distance + 1
+    return [k * width // n for k in range(n + 1)], distance // n
+
+
+def lookalike_candidates(hashes: DataFrame, distance: int) -> DataFrame:
+    """(h, h2) of distinct hashes ``h``, h < h2, that are as close as ``distance // bands`` in some band; may repeat."""
+    edges, radius = band_plan(distance)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    cut = lambda k: F.shiftrightunsigned("h", edges[k]).bitwiseAND(F.lit(signed((1 << (edges[k + 1] - edges[k])) - 1)))
+    turned = lambda w: [signed(sum(1 << i for i in c)) for r in range(radius + 1) for c in combinations(range(w), r)]
+    own = [F.struct(F.lit(k).alias("band"), cut(k).alias("part")) for k in range(len(edges) - 1)]
+    searched = lambda k: lambda m: F.struct(F.lit(k).alias("band"), cut(k).bitwiseXOR(m).alias("part"))
+    near = [F.transform(F.lit(turned(edges[k + 1] - edges[k])).cast("array<bigint>"), searched(k)) for k in range(len(edges) - 1)]
+    keyed = hashes.select("h", F.explode(F.array(*own)).alias("k")).select("h", "k.band", "k.part")
+    asked = hashes.select("h", F.explode(F.concat(*near)).alias("k")).select(F.col("h").alias("h2"), "k.band", "k.part")
+    return keyed.join(asked, ["band", "part"]).filter("h < h2").select("h", "h2")
 
 
 def lookalike_hashes(rows: DataFrame, bits: str, distance: int) -> DataFrame:
@@ -67,10 +91,8 @@ def lookalike_hashes(rows: DataFrame, bits: str, distance: int) -> DataFrame:
     Hashes are joined, not rows. Hashes that pair with anything stay out; distance 0 pairs nothing.
     """
     hashes = _good(rows, bits, distance).select(F.col(bits).alias("h")).distinct()
-    keyed = hashes.select("h", F.explode(bands(F.col("h"), distance)).alias("k")).select("h", "k.band", "k.part")
-    other = keyed.select(F.col("h").alias("h2"), "band", "part")
-    close = keyed.join(other, ["band", "part"]).filter("h < h2").select("h", "h2").distinct()
-    return close.withColumn("distance", S.hamming(F.col("h"), F.col("h2"))).filter(F.col("distance") <= distance)
+    close = lookalike_candidates(hashes, distance).withColumn("distance", S.hamming(F.col("h"), F.col("h2")))
+    return close.filter(F.col("distance") <= distance).distinct()
 
 
 def _good(rows: DataFrame, bits: str, distance: int) -> DataFrame:
