@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators.ordering import estimated_bytes, with_position
 
 # Extensions of pictures and of videos, and names that are passed over.
 IMAGES = ["jpg", "jpeg", "jpe", "png", "gif", "webp", "tif", "tiff", "bmp", "avif"]
@@ -112,10 +114,42 @@ def parse_faces(text: Column) -> Column:
 
 
 def export_names(files: DataFrame, name: str = "file_name", key: str = "id") -> DataFrame:
-    """``out_name``: no two alike, whatever the case; later ones get `` (2)``, `` (3)`` before the extension."""
-    n = F.row_number().over(Window.partitionBy(F.lower(name)).orderBy(key))
+    """``out_name``: no two alike, whatever the case. By ``key``, a name that is taken gets the first free one of `` (2)``,
+    `` (3)`` and so on before its extension.
+
+    Names can only clash within a family: those that are alike without such numbers. Where all names of a family are alike
+    a row's number is its place among them, which comes from one order of all rows, so that a name which every camera
+    gives is many tasks. The names of other families are dealt family by family.
+    """
     stem, ext = F.regexp_replace(name, r"\.[^.]*$", ""), F.regexp_extract(name, r"(\.[^.]*)$", 1)
-    return files.withColumn("__n", n).withColumn("out_name", F.when(F.col("__n") == 1, F.col(name)).otherwise(F.concat(stem, F.lit(" ("), F.col("__n").cast("string"), F.lit(")"), ext))).drop("__n")
+    rows = files.withColumn("__family", F.lower(F.concat(F.regexp_replace(stem, r"( \([0-9]+\))+$", ""), F.lit("/"), ext)))
+    families = rows.groupBy("__family").agg(F.min(F.lower(name)).alias("__low"), F.max(F.lower(name)).alias("__high"))
+    plain = families.filter("__low = __high").select("__family")
+    placed = with_position(rows.join(plain, "__family", "left_semi"), [F.asc("__family"), F.asc(key)], "__pos", size=estimated_bytes(files))
+    first = placed.groupBy(F.col("__family").alias("__f")).agg(F.min("__pos").alias("__first"))
+    placed = placed.join(first, F.col("__family") == F.col("__f")).withColumn("__n", F.col("__pos") - F.col("__first") + 1)
+    numbered = F.when(F.col("__n") == 1, F.col(name)).otherwise(F.concat(stem, F.lit(" ("), F.col("__n").cast("string"), F.lit(")"), ext))
+    done = placed.select(*files.columns, numbered.alias("out_name"))
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken, out, last = set(), [], {}
+        pdf = pdf.sort_values("__key")
+        for own in pdf["__name"]:
+            dot = own.rfind(".")
+            head, tail = (own[:dot], own[dot:]) if dot >= 0 else (own, "")
+            new, n = own, last.get(own.lower(), 1)
+            while new.lower() in taken:
+                n += 1
+                new = f"{head} ({n}){tail}"
+            last[own.lower()] = n
+            taken.add(new.lower())
+            out.append(new)
+        return pd.DataFrame({"__k": pdf["__key"], "__out": out})
+
+    mixed = rows.join(plain, "__family", "left_anti").filter(F.col(name).isNotNull())
+    dealt = mixed.select("__family", F.col(key).alias("__key"), F.col(name).alias("__name")).groupBy("__family").applyInPandas(deal, f"__k {files.schema[key].dataType.simpleString()}, __out string")
+    rest = mixed.join(dealt, F.col(key) == F.col("__k")).select(*files.columns, F.col("__out").alias("out_name"))
+    return done.unionByName(rest).unionByName(files.filter(F.col(name).isNull()).withColumn("out_name", F.lit(None).cast("string")))
 
 
 def export_plan(kind_: Column, ext: Column, identity: Column, width: Column, height: Column, max_edge: int | None) -> Column:
