@@ -1,6 +1,8 @@
 """Facts from the heads of picture and video files, read in Arrow batches. A file that cannot be read has null facts.
 
-Only the first 256 KiB are looked at. Formats: JPEG (size, Exif, IPTC), PNG, GIF, BMP, WebP, TIFF, and MP4/MOV containers.
+Of pictures only the first 256 KiB are looked at. Formats: JPEG (size, Exif, IPTC), PNG, GIF, BMP, WebP (all three kinds),
+TIFF, and MP4/MOV containers, whose index may lie anywhere: it is sought box by box. :func:`file_facts` opens the paths
+themselves and reads nothing else of them; :func:`with_facts` takes contents that are there already.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HEAD = 256 * 1024
+INDEX_MOST = 64 << 20
 WEEK_MS = 7 * 24 * 3600 * 1000
 #: Seconds between the epochs of 1904 (containers) and 1970.
 MAC_EPOCH = 2082844800
@@ -183,8 +186,9 @@ def _container(raw: bytes) -> dict:
 
 
 def facts_of(raw: bytes | None) -> dict:
-    """All facts of one file's head; an empty dict where nothing can be read."""
-    raw = bytes(raw or b"")[:HEAD]
+    """All facts of one file's head, or of a whole container; an empty dict where nothing can be read."""
+    raw = bytes(raw or b"")
+    raw = raw if raw[4:8] == b"ftyp" else raw[:HEAD]
     try:
         if raw[:2] == b"\xff\xd8":
             return _jpeg(raw)
@@ -197,6 +201,11 @@ def facts_of(raw: bytes | None) -> dict:
             h = abs(h)
         elif raw[:4] == b"RIFF" and raw[8:12] == b"WEBP" and raw[12:16] == b"VP8X":
             w, h = int.from_bytes(raw[24:27], "little") + 1, int.from_bytes(raw[27:30], "little") + 1
+        elif raw[:4] == b"RIFF" and raw[8:16] == b"WEBPVP8L":
+            bits = int.from_bytes(raw[21:25], "little")
+            w, h = (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1
+        elif raw[:4] == b"RIFF" and raw[8:16] == b"WEBPVP8 ":
+            w, h = (x & 0x3FFF for x in struct.unpack("<HH", raw[26:30]))
         elif raw[:4] in (b"II*\0", b"MM\0*"):
             return Tiff(raw).facts()
         elif raw[4:8] == b"ftyp":
@@ -208,6 +217,51 @@ def facts_of(raw: bytes | None) -> dict:
         return {}
 
 
+def seek_index(file, size: int) -> bytes:
+    """A container's first and index boxes, found by the boxes' lengths; empty where there is no index of bearable size."""
+    at, first = 0, b""
+    while at + 8 <= size:
+        file.seek(at)
+        head = file.read(16)
+        length, kind = int.from_bytes(head[:4], "big"), head[4:8]
+        length = int.from_bytes(head[8:16], "big") if length == 1 else size - at if length == 0 else length
+        if length < 8:
+            break
+        if kind in (b"ftyp", b"moov") and length <= INDEX_MOST:
+            file.seek(at)
+            body = file.read(length)
+            if kind == b"moov":
+                return first + body
+            first = body
+        at += length
+    return b""
+
+
+def facts_at(path: str) -> dict:
+    """The facts of the file at a path or address that Arrow's file systems know."""
+    from pyarrow import fs
+
+    try:
+        system, inner = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
+        with system.open_input_file(inner) as file:
+            head = file.read(HEAD)
+            return facts_of(seek_index(file, file.size()) if head[4:8] == b"ftyp" else head)
+    except (OSError, ValueError):
+        return {}
+
+
+def file_facts(files: DataFrame, path: str = "path") -> DataFrame:
+    """``files`` plus the facts of the files at ``path``, of which only heads and indexes are read."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema) + ", " + FACTS
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [facts_at(p) if p else {} for p in pdf[path]]
+            yield pdf.assign(**{n: pd.Series([r.get(n) for r in rows], dtype=object, index=pdf.index) for n in NAMES})
+
+    return files.mapInPandas(run, schema)
+
+
 def with_facts(files: DataFrame, content: str = "content") -> DataFrame:
     """``files`` without their content, plus the facts of their heads."""
     kept = [c for c in files.columns if c != content]
@@ -218,9 +272,10 @@ def with_facts(files: DataFrame, content: str = "content") -> DataFrame:
             rows = [facts_of(x) for x in pdf.pop("__head")]
             yield pdf.assign(**{n: pd.Series([r.get(n) for r in rows], dtype=object, index=pdf.index) for n in NAMES})
 
-    return files.select(*kept, F.substring(content, 1, HEAD).alias("__head")).mapInPandas(run, schema)
+    container = F.substring(content, 5, 4) == F.lit(b"ftyp")
+    return files.select(*kept, F.when(container, F.col(content)).otherwise(F.substring(content, 1, HEAD)).alias("__head")).mapInPandas(run, schema)
 
 
 def described(files: DataFrame, mtime_ms: str = "mtime_ms") -> DataFrame:
-    """Facts with the capture time falling back to the file's own, rounded down to seconds."""
-    return with_facts(files).withColumn("taken_at", F.coalesce("taken_at", F.floor(F.col(mtime_ms) / 1000)))
+    """Facts with the capture time falling back to the file's own, rounded down to seconds. Paths are opened where there is no content."""
+    return (with_facts(files) if "content" in files.columns else file_facts(files)).withColumn("taken_at", F.coalesce("taken_at", F.floor(F.col(mtime_ms) / 1000)))

@@ -69,3 +69,22 @@ def test_files_in_batches(spark):
     rows = {r.path: r for r in headers.described(df).collect()}
     assert rows["a"].make == "Canon" and rows["a"].iptc_keywords == ["Lake", "Dog"] and rows["a"].taken_at == 1559383200
     assert rows["b"].width is None and rows["b"].taken_at == 5 and rows["c"].taken_at == 0
+
+
+def test_index_behind_the_media(spark, tmp_path):
+    """Cameras write the index last; it is found in contents and by seeking in files, beyond 32-bit box lengths too."""
+    m = movie()
+    head, index = m[:12], m[12:]
+    long = struct.pack(">I", 1) + b"mdat" + struct.pack(">Q", 16 + 400_000) + b"\0" * 400_000
+    raw = {"last.mov": head + box(b"mdat", b"\0" * 700_000) + index, "long.mp4": head + long + index, "none.mp4": head + long, "cut.mp4": (head + long + index)[:-40], "first.mp4": m}
+    for name, body in raw.items():
+        (tmp_path / name).write_bytes(body)
+    rows = {r.path.rsplit("/", 1)[1]: r for r in headers.file_facts(spark.createDataFrame([(f"file://{tmp_path}/{n}", 1) for n in [*raw, "missing.mp4"]], "path string, mtime_ms long")).collect()}
+    assert len(rows) == len(raw) + 1
+    for name in ("last.mov", "long.mp4", "first.mp4"):
+        assert (rows[name].width, rows[name].height, rows[name].duration_ms, rows[name].taken_at) == (640, 360, 2500, 1000)
+    assert rows["none.mp4"].width is None and rows["missing.mp4"].width is None
+    assert headers.facts_of(raw["last.mov"])["duration_ms"] == 2500
+    lossless = b"RIFF" + b"\0" * 4 + b"WEBPVP8L" + b"\0" * 4 + b"\x2f" + ((299) | (199 << 14)).to_bytes(4, "little")
+    assert headers.facts_of(lossless) == {"width": 300, "height": 200}
+    assert headers.facts_of(b"RIFF" + b"\0" * 4 + b"WEBPVP8 " + b"\0" * 10 + struct.pack("<HH", 120, 80)) == {"width": 120, "height": 80}
