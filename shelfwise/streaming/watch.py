@@ -1,7 +1,8 @@
 """The incremental path: change events to quiet-period batches, to scan plans, to applied changes.
 
-Batch and stream share the pure parts. The stream groups events by session windows and hands each finished batch to
-``foreachBatch``; what is applied re-reads the truth, so late events are harmless and the watermark only bounds state.
+Batch and stream share the pure parts. The stream groups a directory's events by session windows and hands each session to
+``foreachBatch`` once, when the watermark has passed its end. What is applied re-reads the truth. An event that comes later
+than the watermark is dropped with its session; the next full scan finds what it changed.
 """
 
 from __future__ import annotations
@@ -94,13 +95,13 @@ def rebuild_after_s(last_cost_s: float) -> float:
     return max(0.25, 4 * last_cost_s)
 
 
-def watch(events: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, quiet_seconds: int = 2, watermark: str = "10 minutes"):
-    """Start a stream of (ts, kind, path) events; each micro-batch of changed directories goes to ``apply`` in turn."""
+def watch(events: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, quiet_seconds: int = 2, watermark: str = "10 seconds"):
+    """Start a stream of (ts, kind, path) events; directories (session_window, dir, ini_only, n) that have been quiet go to ``apply``, once each session."""
     changed = events.filter(may_have_changed(F.col("kind"))).withWatermark("ts", watermark)
-    dirs = changed.groupBy(F.window("ts", f"{quiet_seconds} seconds"), F.regexp_replace("path", r"/[^/]*$", "").alias("dir"))
+    dirs = changed.groupBy(F.session_window("ts", f"{quiet_seconds} seconds"), F.regexp_replace("path", r"/[^/]*$", "").alias("dir"))
     name = F.lower(F.regexp_extract("path", r"([^/]*)$", 1))
     batches = dirs.agg(F.every(name.isin(SIDECAR_NAMES)).alias("ini_only"), F.count("*").alias("n"))
-    return batches.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(apply).start()
+    return batches.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(apply).start()
 
 
 def quarantine(deaths: DataFrame, key: str, least: int = 2) -> DataFrame:

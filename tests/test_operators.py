@@ -263,10 +263,68 @@ def test_pending_collapse():
 
 
 def test_stream_of_events(spark, tmp_path):
+    """A session comes once, when the watermark has passed it, with all its events, those of later files too."""
     src, seen = tmp_path / "in", []
-    spark.createDataFrame([(datetime(2024, 1, 1, 0, 0, 1), "modify", "/r/a/x.jpg"), (datetime(2024, 1, 1, 0, 0, 1), "modify", "/r/a/.picasa.ini"), (datetime(2024, 1, 1, 0, 0, 1), "access_read", "/r/b/x.jpg"), (datetime(2024, 1, 1, 0, 0, 1), "create", "/r/c/.picasa.ini")], "ts timestamp, kind string, path string").write.parquet(str(src))
-    stream = spark.readStream.schema("ts timestamp, kind string, path string").parquet(str(src))
+    at = lambda s, k, p: (datetime(2024, 1, 1, 0, s // 60, s % 60), k, p)
+    ddl = "ts timestamp, kind string, path string"
+
+    def put(*rows):
+        spark.createDataFrame(list(rows), ddl).coalesce(1).write.mode("append").parquet(str(src))
+
+    put(at(1, "modify", "/r/a/x.jpg"), at(1, "modify", "/r/a/.picasa.ini"), at(1, "access_read", "/r/b/x.jpg"), at(1, "create", "/r/c/.picasa.ini"))
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(src))
     q = watch.watch(stream, lambda df, n: seen.extend(df.collect()), str(tmp_path / "cp"))
     q.processAllAvailable()
+    assert not seen
+    put(at(2, "modify", "/r/a/y.jpg"), at(5, "modify", "/r/a/z.jpg"))
+    q.processAllAvailable()
+    put(at(120, "modify", "/r/z/late.jpg"))
+    q.processAllAvailable()
     q.stop()
-    assert {(r.dir, r.ini_only) for r in seen} == {("/r/a", False), ("/r/c", True)}
+    assert sorted((r.dir, r.ini_only, r.n) for r in seen) == [("/r/a", False, 1), ("/r/a", False, 3), ("/r/c", True, 1)]
+
+
+def test_export_names_against_a_plain_loop(spark):
+    from shelfwise.sources import media
+
+    rng = np.random.default_rng(6)
+    names = ["a.jpg", "A.JPG", "a (2).jpg", "a (2) (2).jpg", "a (3).JPG", "b", "b (2)", "IMG_1.jpg", "img_1.JPG", "x.y.png", ".jpg", "only.gif"]
+    rows = [(k, names[int(rng.integers(len(names) - 1))], 7) for k in range(150)] + [(200, "only.gif", 7), (201, None, 7), (202, "a (1).jpg", 7)]
+    taken, want = set(), {201: None}
+    for k, own, _ in sorted(r for r in rows if r[1] is not None):
+        dot = own.rfind(".")
+        head, tail = (own[:dot], own[dot:]) if dot >= 0 else (own, "")
+        new, n = own, 1
+        while new.lower() in taken:
+            n += 1
+            new = f"{head} ({n}){tail}"
+        taken.add(new.lower())
+        want[k] = new
+    got = {r.id: r.out_name for r in media.export_names(spark.createDataFrame(rows, "id long, file_name string, out int")).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("distance", [1, 3, 7, 12])
+def test_lookalike_candidates_are_few_and_complete(spark, distance):
+    rng = np.random.default_rng(distance)
+    base = rng.integers(0, 2**63, 700)
+    near = [int(b) ^ sum(1 << int(i) for i in rng.choice(63, int(rng.integers(1, distance + 2)), replace=False)) for b in base[:200]]
+    hashes = sorted({int(b) for b in base} | set(near))
+    df = spark.createDataFrame([(h,) for h in hashes], "h long")
+    want = {(a, b) for i, a in enumerate(hashes) for b in hashes[i + 1 :] if (a ^ b).bit_count() <= distance}
+    got = {tuple(r) for r in resolve.lookalike_candidates(df, distance).distinct().collect()}
+    assert want <= got
+    if distance <= 7:
+        assert len(got) - len(want) < 0.01 * len(hashes) ** 2 / 2
+
+
+def test_positions_by_ranges_agree(spark, monkeypatch):
+    from shelfwise.operators import ordering
+
+    rows = spark.range(5000).select("id", (F.col("id") % 37).alias("folder_path"), (F.col("id") * 7919 % 1000).alias("taken_at"), F.col("id").alias("file_name"))
+    small = views.placed(rows)
+    cut = lambda df: sorted(map(tuple, ordering.sections(df, F.col("taken_at") % 5, "taken_at").select("key", "offset", "count", "oldest").collect()))
+    want, runs = sorted((r.id, r.pos) for r in small.collect()), cut(small)
+    monkeypatch.setattr(views, "estimated_bytes", lambda df: 1 << 40)
+    large = views.placed(rows)
+    assert sorted((r.id, r.pos) for r in large.collect()) == want and cut(large) == runs
