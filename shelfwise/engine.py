@@ -20,6 +20,7 @@ class Engine:
         self.catalog = catalog
         self.view, self.argument, self.sort, self.grouping = "all", None, "date", "folder"
         self._counts: tuple[int, dict] | None = None
+        self._grid: tuple[tuple, DataFrame] | None = None
 
     def set_view(self, name: str, argument=None) -> None:
         if name not in views.VIEWS:
@@ -39,9 +40,21 @@ class Engine:
         return search_items(self.catalog, self.argument) if self.view == "search" else views.view(self.catalog, self.view, self.argument)
 
     def grid(self) -> DataFrame:
-        """The view's rows in order, with their folder's path and ``pos``. Search places folders by all of their rows."""
-        paths = self.catalog["folders"].select(F.col("id").alias("folder_id"), F.col("path").alias("folder_path"))
-        shown = self.rows().join(paths, "folder_id", "left")
+        """The view's rows in order, placed and written once for each state of view and catalog; pages and sections read it."""
+        state = (self.catalog.version, self.view, self.argument, self.sort, self.grouping)
+        if self._grid is None or self._grid[0] != state:
+            self._grid = state, ordering.written(self._placed(), "grid")
+        return self._grid[1]
+
+    def _placed(self) -> DataFrame:
+        """The view's rows with their folder's path and ``pos``. Search places folders by all of their rows."""
+        folders = self.catalog["folders"]
+        paths = folders.select(F.col("id").alias("folder_id"), F.col("path").alias("folder_path"), "watched_id")
+        # Roots that cannot be reached show nothing; folders of no known root are shown.
+        offline = self.catalog["watched_folders"].filter("not online").select(F.col("id").alias("watched_id"))
+        away = paths.join(offline, "watched_id", "left_semi").select("folder_id")
+        paths = paths.drop("watched_id")
+        shown = self.rows().join(away, "folder_id", "left_anti").join(paths, "folder_id", "left")
         within = visible(self.catalog["items"]).join(paths, "folder_id", "left") if self.view == "search" else None
         return views.placed(shown, self.sort, within=within, grouping="folder" if self.grouping == "folder" else "none")
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from shelfwise import catalog_queries as c
+from shelfwise import library_queries  # noqa: F401 - registers its queries
 from shelfwise.operators import resolve
 
 D = "/root/testdata/sf0.001"
