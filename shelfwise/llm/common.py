@@ -21,11 +21,12 @@ WS = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is named (tests), one of this process's own."""
+    """The cluster's shared folder, else its warehouse; only in local mode a temporary folder serves where none is named."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="shelfwise-")
+        local = sc.master.split("[")[0] == "local"
+        found = "file://" + tempfile.mkdtemp(prefix="shelfwise-") if local else spark.conf.get("spark.sql.warehouse.dir")
         spark.conf.set("spark.checkpoint.dir", found)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(found)
