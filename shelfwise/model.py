@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import threading
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ SCHEMAS = {
     "settings": "key string, value string",
 }
 
+LISTS = "version long, name string, path string, mark long"
+
 
 def live(items: DataFrame) -> DataFrame:
     """Rows whose file was there at the last look."""
@@ -50,12 +54,51 @@ class Catalog:
     """The current version of every table. A write replaces tables together, under one lock, and bumps the version.
 
     Ids are allocated above a high-water mark that never falls, so they are never used again.
+
+    With ``root``, a folder that the cluster shares, a version is durable: its tables are written below it, then the list
+    of where they lie, which makes the version. What was written without its list is never read, so a driver that is lost
+    while it writes leaves the version before. A catalog opened on the folder has its last version and its marks. Only one
+    driver writes at a time; files of old versions stay for readers until the folder is cleaned.
     """
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame] | None = None):
-        self.spark, self.version, self._lock = spark, 0, threading.Lock()
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame] | None = None, root: str | None = None):
+        self.spark, self.version, self._lock, self.root = spark, 0, threading.Lock(), root and root.rstrip("/")
         self._tables = dict(tables or {})
         self._marks: dict[str, int] = {}
+        self._paths: dict[str, str] = {}
+        if self.root:
+            self._open()
+
+    def _open(self) -> None:
+        try:
+            lists = self.spark.read.schema(LISTS).parquet(f"{self.root}/_versions")
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return  # nothing was ever committed
+            raise
+        self.version = lists.agg(F.max("version").alias("v")).first().v or 0
+        for r in lists.filter(F.col("version") == self.version).collect():  # a row for each table
+            if r.path is not None:
+                self._paths[r.name] = r.path
+                self._tables[r.name] = self.spark.read.parquet(r.path)
+            if r.mark is not None:
+                self._marks[r.name] = r.mark
+
+    def _replace(self, tables: dict[str, DataFrame]) -> int:
+        new = self.version + 1
+        if self.root:
+            paths = dict(self._paths)
+            for name, rows in tables.items():
+                paths[name] = f"{self.root}/{name}/{uuid.uuid4().hex}"
+                rows.write.parquet(paths[name])
+            tables = {name: self.spark.read.schema(rows.schema).parquet(paths[name]) for name, rows in tables.items()}
+            known = [(new, name, paths.get(name), self._marks.get(name)) for name in sorted({*paths, *self._marks})]
+            listed = self.spark.createDataFrame(known, LISTS).coalesce(1)
+            listed.write.mode("append").parquet(f"{self.root}/_versions")
+            self._paths = paths
+        self._tables.update(tables)
+        self.version = new
+        return new
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._tables:
@@ -64,17 +107,14 @@ class Catalog:
 
     def commit(self, **tables: DataFrame) -> int:
         with self._lock:
-            self._tables.update(tables)
-            self.version += 1
-            return self.version
+            return self._replace(tables)
 
     def publish(self, seen_version: int, **tables: DataFrame) -> str:
         """Compare and swap: a result computed from an older version is discarded."""
         with self._lock:
             if seen_version != self.version:
                 return "superseded"
-            self._tables.update(tables)
-            self.version += 1
+            self._replace(tables)
             return "published"
 
     def with_ids(self, name: str, rows: DataFrame, order: list[str]) -> DataFrame:
