@@ -142,7 +142,7 @@ def neighbours(spark, d):
 
 @query(f"with {_PLACED} select folder as folder_path, min(pos) as \"offset\" from placed group by folder")
 def folder_jump(spark, d):
-    return views.placed(orders(spark, d)).groupBy("folder_path").agg(F.min("pos").alias("offset"))
+    return ordering.folder_offsets(views.placed(orders(spark, d)))
 
 
 @query(f"with {_PLACED}, n as (select count(*) as n from orders) select id, pos from placed where pos % 7 = 0")
@@ -195,7 +195,7 @@ def stats_top_makers(spark, d):
 
 @query("select least(floor(l_extendedprice / 110000.0 * 64), 63)::int as bin, count(*) as n from lineitem group by 1")
 def histogram_64(spark, d):
-    return table(spark, d, "lineitem").groupBy(F.least(F.floor(F.col("l_extendedprice") / 110000.0 * 64), F.lit(63)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return views.histogram(table(spark, d, "lineitem"), "l_extendedprice", 110000.0)
 
 
 @query("select sum(('0x' || substr(md5(doc_id::varchar || text), 1, 12))::bigint)::double as digest from documents")

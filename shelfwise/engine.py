@@ -69,6 +69,16 @@ class Engine:
     def page(self, offset: int, count: int) -> DataFrame:
         return ordering.page(self.grid(), offset, count)
 
+    def change(self, name: str, rows: DataFrame) -> int:
+        """Commit table ``name`` as ``rows``, which say row by row whether they ``changed``; the number that did.
+
+        Where none did, nothing is committed, so neither grid nor counts are made anew.
+        """
+        n = rows.filter("changed").count()
+        if n:
+            self.catalog.commit(**{name: rows.drop("changed")})
+        return n
+
     def counts(self) -> dict:
         """Starred, videos, hidden and duplicates in one pass each, kept until the catalog changes."""
         if self._counts is None or self._counts[0] != self.catalog.version:

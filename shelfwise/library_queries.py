@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from .catalog_queries import orders, query, table
 from .operators import library as lib
-from .operators import resolve, views
+from .operators import ordering, passes, resolve, views
+from .streaming import watch
 
 _I = """i as (select doc_id as id, cast(substr(source, 4) as bigint) as folder_id, 'f' || doc_id || '.JPG' as file_name, n_chars as size, doc_id * 10 as mtime_ms, case when doc_id % 4 = 0 then null else doc_id % 2 end as rating,
   doc_id % 5 = 0 as hidden, case when doc_id % 9 = 0 then 1 end as missing_since, (doc_id % 6 = 0)::int as kind, doc_id % 3 as thumb_state, case when doc_id % 7 = 0 then null else doc_id % 4 end as face_version,
@@ -183,3 +184,81 @@ def sidebar_by_count(spark, d):
     items = _items(spark, d).withColumn("taken_at", F.col("mtime_ms"))
     return lib.folder_names(_folders(spark, d).withColumn("name", F.col("path")), items, "count").select("id", "n", "rank")
 
+
+
+# Passes and reads.
+_NEAR = "b as (select vec_id, list_transform(embedding, lambda x: x > 0) as s from embeddings), c as (select a.vec_id as a, b.vec_id as b from b a join b on a.vec_id < b.vec_id where len(list_filter(range(1, 65), lambda i: a.s[i] <> b.s[i])) <= 7), e as (select a, b from c union all select b, a from c), r as (select a as n, a as l from e union select e.b, r.l from r join e on r.n = e.a)"
+
+
+@query(f"with recursive {_NEAR} select vec_id as id, g as similar_group from embeddings left join (select n, min(l) as g from r group by n) on n = vec_id")
+def lookalike_pass(spark, d):
+    """Stored groups of before are all wrong, so the pass replaces each of them."""
+    from .catalog_queries import _bits
+
+    none = F.lit(None).cast("long")
+    rows = _bits(spark, d).select(F.col("vec_id").alias("id"), F.col("h").alias("percep_hash"), none.alias("missing_since"), F.lit(0).alias("kind"), F.col("vec_id").cast("string").alias("path"), F.lit(1).cast("long").alias("size"), F.lit(1).cast("long").alias("mtime_ms"), F.lit(0).alias("edit_turns"), none.alias("edit_crop"), (F.lit(-1) - F.col("vec_id")).alias("similar_group"))
+    out, _, _ = passes.lookalike_pass(rows, 7)
+    return out.select("id", "similar_group")
+
+
+@query("""with f as (select c_custkey as id, c_mktsegment as name, case when c_custkey % 4 = 0 then 'old ' || c_custkey when c_custkey % 10 = 0 then (select c_mktsegment from customer t where t.c_custkey = c.c_custkey + 1) end as alias, c_custkey % 6 = 0 as hidden from customer c)
+  select t.id, case when t.id % 2 = 1 and t.alias is null and not t.hidden and o.alias is distinct from t.name then o.alias else t.alias end as alias, t.hidden or (t.id % 2 = 1 and t.alias is null and coalesce(o.hidden, false)) as hidden from f t left join f o on o.id = t.id - 1""")
+def folder_inheritance(spark, d):
+    """Every odd folder holds what was in the even one before it."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("name"))
+    after = c.select((F.col("id") - 1).alias("id"), F.col("name").alias("next"))
+    alias = F.when(F.col("id") % 4 == 0, F.concat(F.lit("old "), F.col("id").cast("string"))).when(F.col("id") % 10 == 0, F.col("next"))
+    folders = c.join(after, "id", "left").select("id", "name", alias.alias("alias"), (F.col("id") % 6 == 0).alias("hidden"))
+    moves = folders.filter("id % 2 = 0").select(F.col("id").alias("from_id"), (F.col("id") + 1).alias("to_id"), F.col("id").alias("at"))
+    items = folders.select("id", F.col("id").alias("folder_id"), F.lit(False).alias("hidden"))
+    return passes.inherit_folder_flags(folders, items, moves)[0].select("id", "alias", "hidden")
+
+
+_U = "u as (select page_id, regexp_replace(url, '^[a-z]+://', '/') as path from pages), ro as (select min(page_id) as id, '/' || split_part(path, '/', 2) as path from u group by 2), di as (select distinct regexp_replace(path, '/[^/]*$', '') as dir from u)"
+
+
+@query(f"with {_U} select ro.id as watched_id, dir from di join ro on dir = ro.path or starts_with(dir, ro.path || '/') where ro.id % 2 = 0 and not (dir = '/example.com/a' or starts_with(dir, '/example.com/a/'))")
+def plan_sidecars(spark, d):
+    """Directories of pages, below every second host."""
+    u = table(spark, d, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "/").alias("path"))
+    roots = u.groupBy(F.concat(F.lit("/"), F.split_part("path", F.lit("/"), F.lit(2))).alias("path")).agg(F.min("page_id").alias("id")).filter("id % 2 = 0")
+    return watch.plan_sidecars(u.select(F.regexp_replace("path", "/[^/]*$", "").alias("dir")), roots, ["/example.com/a"])
+
+
+@query("with k as (select o_custkey as c from (select *, min(o_orderdate) over (partition by o_custkey) as oldest from orders) order by oldest desc, o_custkey, o_orderdate, o_orderkey limit 1 offset 500) select o_orderkey as id from orders, k where o_custkey = c")
+def folder_at(spark, d):
+    return ordering.folder_at(views.placed(orders(spark, d)), 500).select("id")
+
+
+@query("with p as (select user_id as id, user_id % 5 = 0 as named, user_id % 7 = 0 as ignored from (select distinct user_id from events)), g as (select user_id from events join p on id = user_id where not named and not ignored and event_id % 3 <> 0 and event_id % 11 <> 0 group by user_id having count(*) >= 2) select (select count(*) from p where named) as named, (select count(*) from g) as to_name")
+def people_counts(spark, d):
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_id").alias("item_id"), F.col("user_id").alias("person_id"))
+    who = e.select(F.col("person_id").alias("id")).distinct().select("id", F.when(F.col("id") % 5 == 0, F.lit("n")).alias("name"), (F.col("id") % 7 == 0).alias("ignored"))
+    items = e.select("id", F.when(F.col("id") % 11 == 0, F.lit(1)).alias("missing_since"), (F.col("id") % 3 == 0).alias("hidden"))
+    return passes.people_counts(who, e, items)
+
+
+@query(f"with {_I} select folder_id, id, lower(file_name) as name, rating from i where missing_since is null and folder_id in (select folder_id from i where missing_since is null and lang = 'de')")
+def mirror_reads(spark, d):
+    """Live rows of folders that hold a live row in German."""
+    items = _items(spark, d).withColumn("picasa_hidden", F.lit(None).cast("boolean"))
+    held = passes.folders_with(items, items.filter("lang = 'de'").select(F.col("id").alias("item_id")))
+    return passes.folder_rows(items, held).drop("picasa_hidden")
+
+
+@query(f"with {_I} select id from i where missing_since is null and face_version is distinct from 2")
+def resumed_pass(spark, d):
+    return passes.to_process(_items(spark, d), "face_version", 2).select("id")
+
+
+@query(f"with {_S} select year(to_timestamp(taken_at))::int as year, count(*) as n from s group by 1")
+def statistics_years(spark, d):
+    return views.statistics(_facts(spark, d))["years"]
+
+
+@query("select root as path from (values ('/lib/src1'), ('/lib/src2'), ('/lib/src10'), ('/')) t(root) where root = '/' or exists (select 1 from documents where doc_id % 50 = 0 and ('/lib/' || source || '/' || doc_id = root or starts_with('/lib/' || source || '/' || doc_id, root || '/')))")
+def degraded_roots(spark, d):
+    """Errors lie on the path of every fiftieth document."""
+    roots = spark.createDataFrame([("/lib/src1",), ("/lib/src2",), ("/lib/src10",), ("/",)], "root string")
+    errors = table(spark, d, "documents").filter("doc_id % 50 = 0").select(F.concat(F.lit("/lib/"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.lit("lost").alias("message"))
+    return watch.degraded_roots(errors, roots).select(F.col("root").alias("path"))

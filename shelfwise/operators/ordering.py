@@ -77,6 +77,17 @@ def neighbours(ordered: DataFrame, key: str, value, radius: int, pos: str = "pos
     return with_position(near.withColumn("away", away), [F.abs("away"), F.desc("away")], "rank").drop("__at")
 
 
+def folder_offsets(ordered: DataFrame, folder: str = "folder_path", pos: str = "pos") -> DataFrame:
+    """(folder, offset): the place where each folder is first reached."""
+    return ordered.groupBy(folder).agg(F.min(pos).alias("offset"))
+
+
+def folder_at(ordered: DataFrame, offset: int, folder: str = "folder_path", pos: str = "pos") -> DataFrame:
+    """All rows of the folder of the row at ``offset``; none past the end."""
+    at = ordered.filter(F.col(pos) == offset).select(F.col(folder).alias("__at")).limit(1)
+    return ordered.join(F.broadcast(at), F.col(folder).eqNullSafe(F.col("__at")), "left_semi")  # one row
+
+
 def sections(ordered: DataFrame, key: Column, taken: str, pos: str = "pos") -> DataFrame:
     """Runs of equal ``key`` in the order: key, offset, count and oldest.
 

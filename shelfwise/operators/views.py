@@ -138,6 +138,12 @@ def statistics(rows: DataFrame) -> dict[str, DataFrame]:
     return {"totals": totals, "years": years, "cameras": top(F.when(F.col("make").isNotNull() | F.col("model").isNotNull(), F.concat_ws(" ", "make", "model"))), "lenses": top(F.col("lens"))}
 
 
+def histogram(values: DataFrame, column: str, top: float, bins: int = 64) -> DataFrame:
+    """(bin, n): how many values lie in each of ``bins`` equal parts of [0, top); what lies above is in the last. Empty bins are left out."""
+    at = F.greatest(F.least(F.floor(F.col(column) / top * bins), F.lit(bins - 1)), F.lit(0)).cast("int")
+    return values.filter(F.col(column).isNotNull()).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
+
+
 def slideshow(rows: DataFrame, start: int, stride: int, n: int, pos: str = "pos") -> DataFrame:
     """Rows with ``step``, when a walk by ``stride`` (coprime to ``n``) from ``start`` reaches them."""
     back = pow(stride, -1, n)

@@ -42,6 +42,29 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
 
 
+def _bare(path: Column) -> Column:
+    return F.regexp_replace(path, "/+$", "")
+
+
+def _upwards(path: Column) -> Column:
+    """A path and its ancestors, the root of all as the empty string."""
+    return F.array_distinct(F.array_append(ancestors(_bare(path)), _bare(path)))
+
+
+def plan_sidecars(dirs: DataFrame, roots: DataFrame, excluded: list[str] | None = None) -> DataFrame:
+    """(watched_id, dir), each once: directories whose sidecar alone is read again, inside one of ``roots`` (id, path).
+
+    One below another stays, since a sidecar says nothing of the directories below. Of nested roots the outermost is meant.
+    """
+    inside = F.lit(True)
+    for x in excluded or []:
+        inside = inside & ~S.within(F.col("dir"), F.lit(x))
+    once = dirs.filter(F.col("dir").isNotNull() & inside).select("dir").distinct()
+    up = once.select("dir", F.explode(_upwards(F.col("dir"))).alias("__up"))
+    found = up.join(roots.select(F.col("id").alias("watched_id"), _bare(F.col("path")).alias("__up")), "__up")
+    return found.groupBy("dir").agg(F.min_by("watched_id", F.struct(F.length("__up"), "watched_id")).alias("watched_id")).select("watched_id", "dir")
+
+
 def plan_scans(dirs: DataFrame, roots: list[str], excluded: list[str] | None = None, column: str = "dir") -> DataFrame:
     """Directories to walk: inside a root, outside exclusions, and none below another.
 
@@ -68,6 +91,38 @@ def collapse(pending: list[str], new: list[str], root: str, cap: int = PENDING_C
     return [root] if len(out) > cap else sorted(out)
 
 
+class Slots:
+    """What runs and what waits, root by root: one job at a time each, walks before sidecars.
+
+    Walks that wait are bounded by :func:`collapse`; a walk covers the sidecars below it. Sidecars that wait are bounded by
+    the number of folders.
+    """
+
+    def __init__(self, cap: int = PENDING_CAP):
+        self.cap, self.busy, self.waiting = cap, set(), {}
+
+    def offer(self, root: str, walks: list[str] = (), sidecars: list[str] = ()) -> tuple[str, list[str]] | None:
+        """Queue work for ``root``; the job to start now, or None while one runs or nothing is left."""
+        walking, reading = self.waiting.get(root, ([], []))
+        walking = collapse(walking, list(walks), root, self.cap)
+        covered = lambda d: any(d == w or d.startswith(w.rstrip("/") + "/") for w in walking)
+        self.waiting[root] = walking, sorted({d for d in [*reading, *sidecars] if not covered(d)})
+        return self._next(root)
+
+    def done(self, root: str) -> tuple[str, list[str]] | None:
+        """The job of ``root`` has ended, well or not; the next one, if any waits."""
+        self.busy.discard(root)
+        return self._next(root)
+
+    def _next(self, root: str) -> tuple[str, list[str]] | None:
+        walking, reading = self.waiting.get(root, ([], []))
+        if root in self.busy or not (walking or reading):
+            return None
+        self.busy.add(root)
+        self.waiting[root] = ([], reading) if walking else ([], [])
+        return ("walk", walking) if walking else ("sidecars", reading)
+
+
 def pending_by_root(dirs: DataFrame, cap: int = PENDING_CAP) -> DataFrame:
     """Streaming (root, dirs) from (root, dir): at most ``cap`` pending directories are kept per root as state."""
 
@@ -83,8 +138,11 @@ def pending_by_root(dirs: DataFrame, cap: int = PENDING_CAP) -> DataFrame:
 
 def degraded_roots(errors: DataFrame, roots: DataFrame) -> DataFrame:
     """Roots that errors (path, message) touch; an error without a path touches all."""
-    hit = F.col("path").isNull() | S.within(F.col("path"), F.col("root"))
-    return roots.join(F.broadcast(errors), hit, "left_semi")  # errors: a batch's few
+    touched = errors.select(F.explode(F.when(F.col("path").isNull(), F.array(F.lit(None).cast("string"))).otherwise(_upwards(F.col("path")))).alias("__up")).distinct()
+    named = roots.withColumn("__up", _bare(F.col("root")))
+    everywhere = touched.filter("__up is null").agg(F.count("*").alias("__all"))  # one row
+    hit = touched.filter("__up is not null").withColumn("__hit", F.lit(True))
+    return named.join(hit, "__up", "left").join(F.broadcast(everywhere)).filter("__hit or __all > 0").select(*roots.columns)
 
 
 def rescan_interval_s(last_cost_s: float) -> float:
