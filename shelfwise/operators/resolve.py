@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
@@ -14,6 +15,8 @@ from ..functions import scalars as S
 from .ordering import written
 
 CANDIDATE_CAP = 32
+#: Up to this number of counted edges one task connects them.
+SMALL_EDGES = 200_000
 ABSENT = -(2**62)
 
 
@@ -42,15 +45,38 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u > v").distinct()
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def _connected_at_once(edges: DataFrame) -> DataFrame:
+    """(node, label) of a counted, small table of edges, in one task: trees of smallest nodes, hooked and flattened."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if not parts:
+            return
+        nodes, at = np.unique(np.concatenate([p[c].to_numpy() for c in ("u", "v") for p in parts]), return_inverse=True)
+        (a, b), label = at.reshape(2, -1), np.arange(len(nodes))
+        while (label[a] != label[b]).any():
+            x, y = label[a], label[b]
+            np.minimum.at(label, x, y)
+            np.minimum.at(label, y, x)
+            while (label != label[label]).any():
+                label = label[label]
+        yield pd.DataFrame({"node": nodes, "label": nodes[label]})
+
+    kind = edges.schema["u"].dataType.simpleString()
+    return edges.select("u", "v").coalesce(1).mapInPandas(work, f"node {kind}, label {kind}")
+
+
+def connected(edges: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
     """(node, label): the smallest node of each connected component; nodes without edges are left out.
 
     Large and small stars by turns, each round a written table, until no edge changes: rounds grow with the logarithm of
-    the longest path and have no cap.
+    the longest path and have no cap. A table of ``small`` counted edges or fewer is connected by one task.
     """
     edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("a is not null and b is not null and a <> b").distinct(), "edges")
     last = None
     while (seen := edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()) != last:
+        if last is None and seen.n <= small:
+            return _connected_at_once(edges)
         last, edges = seen, written(_stars(_stars(edges, True), False), "edges")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)

@@ -164,14 +164,16 @@ def test_lookalike_pairs_hold_rows_of_one_hash(spark):
     assert sorted(map(tuple, resolve.lookalike_pairs(df, "id", "h", 7, odd).collect())) == [p for p in want if (p[0] + p[1]) % 2]
 
 
-def test_connected_settles_on_long_chains(spark):
+@pytest.mark.parametrize("small", [0, resolve.SMALL_EDGES])
+def test_connected_settles_on_long_chains(spark, small):
     chain = [1, *range(300, 1, -1)]  # the smallest node's label must travel the whole way
     edges = [*zip(chain, chain[1:]), (1001, 1000), (1000, 1001), (2000, 2000), (None, 5)]
-    got = {r.node: r.label for r in resolve.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.label for r in resolve.connected(spark.createDataFrame(edges, "a long, b long"), small).collect()}
     assert got == {**dict.fromkeys(chain, 1), 1000: 1000, 1001: 1000}
 
 
-def test_connected_matches_union_find_on_random_ids(spark):
+@pytest.mark.parametrize("small", [0, resolve.SMALL_EDGES])
+def test_connected_matches_union_find_on_random_ids(spark, small):
     rng = np.random.default_rng(8)
     edges = rng.integers(-400, 400, (300, 2)).tolist()
     label = {x: x for e in edges for x in e if e[0] != e[1]}
@@ -185,7 +187,7 @@ def test_connected_matches_union_find_on_random_ids(spark):
         if a != b:
             p, q = find(a), find(b)
             label[max(p, q)] = min(p, q)
-    got = resolve.connected(spark.createDataFrame(edges, "a long, b long")).collect()
+    got = resolve.connected(spark.createDataFrame(edges, "a long, b long"), small).collect()
     assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in label)
 
 

@@ -130,3 +130,15 @@ def test_change_commits_only_changes(spark):
     assert cat.version == 2 and cat["settings"].first().value == "2" and cat["settings"].columns == ["key", "value"]
     with pytest.raises(ValueError):
         e.set_view("nothing")
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_small_and_large_tables_of_edges_connect_alike(spark, kind):
+    from shelfwise.operators.resolve import connected
+
+    path = [1, *range(40, 1, -1)]  # the smallest node is at one end, the next ones at the other
+    pairs = [*zip(path, path[1:]), (100, 101), (102, 101), (101, 100), (7, 7), (None, 3), (200, 200)]
+    edges = frame(spark, "a long, b long", *pairs).select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"))
+    each = [sorted(map(tuple, connected(edges, small).collect())) for small in (0, 1000)]
+    assert each[0] == each[1] and len({x for _, x in each[0]}) == 2 and len(each[0]) == 43
+    assert connected(edges.limit(0)).count() == 0
