@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import materialize
 from .graph import components
@@ -97,15 +98,20 @@ class MultiIndex:
         return (i[a] * self.k + j[b])[np.argsort(total[a, b], kind="stable")]
 
 
+def _scaled(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows scaled to length one in double precision, and which of them can be."""
+    v = v.astype(np.float64)
+    most = np.abs(v).max(axis=1, initial=0.0)
+    good = np.isfinite(most) & (most > 0)
+    v = v / np.where(good, most, 1.0)[:, None]
+    norm = np.linalg.norm(v, axis=1)
+    return np.where(good[:, None], v / np.where(good, norm, 1.0)[:, None], 0.0), good
+
+
 def _unit(column: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors in double precision and which rows have one."""
     if dim and isinstance(column, pa.ListArray) and not column.null_count and not column.flatten().null_count and (column.value_lengths().to_numpy() == dim).all():
-        v = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-        most = np.abs(v).max(axis=1, initial=0.0)
-        good = np.isfinite(most) & (most > 0)
-        v = v / np.where(good, most, 1.0)[:, None]
-        norm = np.linalg.norm(v, axis=1)
-        return np.where(good[:, None], v / np.where(good, norm, 1.0)[:, None], 0.0), good
+        return _scaled(column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
     rows = column.to_pylist()
     dim = dim or next((len(x) for x in rows if x), 1)
     out, good = np.zeros((len(rows), dim)), np.zeros(len(rows), bool)
@@ -181,6 +187,9 @@ def links(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", t
         indexes[dim] = MultiIndex(unit[good], many, threshold, recall), cells
         cells += indexes[dim][0].k ** 2
     shared = spark.sparkContext.broadcast(indexes)
+    # Vectors travel as they are stored: single precision is half as much to shuffle, and scaling it again is exact.
+    single = isinstance(df.schema[embedding].dataType.elementType, FloatType)
+    kind, arrow = ("float", pa.float32()) if single else ("double", pa.float64())
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -192,12 +201,12 @@ def links(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", t
                     p = s.take(pa.array(np.flatnonzero(lengths == dim)))
                     unit, good = _unit(p.column(1), dim)
                     if good.any():
-                        x, row = unit[good], p.column(0).to_numpy()[good]
-                        cell, (one, two) = m.distances(m.rotate(x))
+                        row = p.column(0).to_numpy()[good]
+                        cell, (one, two) = m.distances(m.rotate(unit[good]))
                         seen = [v[v >= c] + first for c, v in ((c, m.visits(o, t)) for c, o, t in zip(cell.tolist(), one, two, strict=True))]
-                        yield pa.record_batch([pa.array(row, pa.int64()), pa.array(list(x), pa.list_(pa.float64())), p.column(2).filter(pa.array(good)), pa.array(cell + first, pa.int64()), pa.array(seen, pa.list_(pa.int64()))], names=["row", "x", "w", "cell", "visits"])
+                        yield pa.record_batch([pa.array(row, pa.int64()), p.column(1).filter(pa.array(good)).cast(pa.list_(arrow)), p.column(2).filter(pa.array(good)), pa.array(cell + first, pa.int64()), pa.array(seen, pa.list_(pa.int64()))], names=["row", "x", "w", "cell", "visits"])
 
-    placed = materialize(distinct.select("row", "v", "n_same").mapInArrow(assign, "row long, x array<double>, w long, cell long, visits array<long>"), "vectors-cells")
+    placed = materialize(distinct.select("row", "v", "n_same").mapInArrow(assign, f"row long, x array<{kind}>, w long, cell long, visits array<long>"), "vectors-cells")
     visit = placed.select("row", "x", "w", F.col("cell").alias("own"), F.explode("visits").alias("cell"))
     # One row a cell, at most MOST_CENTROIDS squared: how many blocks each side of it is cut into.
     sides = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("nb")).join(visit.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("nq")), "cell")
@@ -208,7 +217,7 @@ def links(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", t
     def verify(key: tuple, table: pa.Table) -> pa.Table:
         cell = key[0].as_py()
         row, w = table.column("row").to_numpy(), table.column("w").to_numpy()
-        x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(row), -1)
+        x, _ = _scaled(table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(row), -1))
         own = table.column("own").to_numpy().astype(np.float64)  # NaN: one of the cell's own vectors
         part = lambda m: {"row": row[m], "w": w[m], "x": x[m]}
         b, home = np.isnan(own), own == cell
