@@ -17,6 +17,7 @@ gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,9 +79,9 @@ def means(table: np.ndarray, grams: tuple[np.ndarray, np.ndarray, np.ndarray]) -
     return total
 
 
-def features(texts: list[str]) -> np.ndarray:
+def features(texts: list[str] | pa.Array) -> np.ndarray:
     """Dense shares of the buckets, for training."""
-    two, three, offsets = ngrams(pa.array(texts, pa.string()))
+    two, three, offsets = ngrams(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
     out = np.zeros((len(texts), 2 * BUCKETS), np.float32)
     for order, at in ((2, two), (3, three)):
         for k, (lo, hi) in enumerate(zip(*_spans(offsets, order), strict=True)):
@@ -91,17 +92,17 @@ def features(texts: list[str]) -> np.ndarray:
 
 def fit_svm(x: np.ndarray, y: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear SVM for y in {-1, 1}; classes weigh alike. ``scale`` evens out the features."""
-    z = x * scale
     weight = np.where(y > 0, len(y) / (2 * max((y > 0).sum(), 1)), len(y) / (2 * max((y < 0).sum(), 1)))
-    w, b, mean_w, mean_b, rng, t = np.zeros(z.shape[1]), 0.0, np.zeros(z.shape[1]), 0.0, np.random.default_rng(0), 0
+    w, b, mean_w, mean_b, rng, t = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0, np.random.default_rng(0), 0
     for _ in range(EPOCHS):
         order = rng.permutation(len(y))
         for at in np.array_split(order, max(1, len(y) // 32)):
             t += 1
             rate = 1.0 / (1.0 + 0.05 * t)
-            active = y[at] * (z[at] @ w + b) < 1
+            some = x[at]
+            active = y[at] * (some @ (scale * w) + b) < 1
             g = (weight[at] * y[at] * active) / len(at)
-            w = w * (1 - rate * PENALTY) + rate * (g @ z[at])
+            w = w * (1 - rate * PENALTY) + rate * (scale * (g @ some))
             b += rate * g.sum()
             mean_w += (w - mean_w) / t
             mean_b += (b - mean_b) / t
@@ -111,13 +112,14 @@ def fit_svm(x: np.ndarray, y: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray
 class Hierarchy:
     """The family stage and the one-versus-one machines of each family."""
 
-    def __init__(self, texts: list[str], langs: list[str]):
+    def __init__(self, texts: list[str] | np.ndarray, langs: list[str]):
+        """``texts``: texts, or their features."""
         self.langs = sorted(set(langs))
         of = np.array([self.langs.index(x) for x in langs])
         self.families = sorted({FAMILY.get(x, f"only-{x}") for x in self.langs})
         family = np.array([self.families.index(FAMILY.get(x, f"only-{x}")) for x in self.langs])
         self.members = [np.flatnonzero(family == f).tolist() for f in range(len(self.families))]
-        x = features(texts)
+        x = texts if isinstance(texts, np.ndarray) else features(texts)
         spread = x.std(axis=0)
         scale = np.where(spread > 0, 1 / np.maximum(spread, 1e-4), 0.0) / np.sqrt(x.shape[1])
         self.pairs = lambda n: [(a, b) for a in range(n) for b in range(a + 1, n)]
@@ -160,7 +162,10 @@ class Hierarchy:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Hierarchy | None:
-    """Learn on the driver from a bounded sample of each language of (doc_id, text, lang); None without labelled rows."""
+    """Learn on the driver from a bounded sample of each language of (doc_id, text, lang); None without labelled rows.
+
+    Executors count the sample's n-grams: the driver gets shares of at most ``2 * BUCKETS`` buckets a row,
+    however long the texts are."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang", F.xxhash64("doc_id", "text").alias("h"))
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()
     if not counts:
@@ -169,9 +174,30 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Hierarchy | None:
     steps = docs.sparkSession.createDataFrame([(r.lang, max(1, r.n // each), r.least) for r in counts], "lang string, step long, least long")
     some = labelled.join(F.broadcast(steps), "lang").filter((F.pmod("h", "step") == 0) | (F.col("h") == F.col("least")))  # one row a language
     some = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    rows = some.filter(F.col("k") <= 2 * each).select("doc_id", "text", "lang").collect()
-    rows = sorted({(r.doc_id or 0, r.text, r.lang) for r in rows if has_letter(r.text)})
-    return Hierarchy([r[1] for r in rows], [r[2] for r in rows]) if rows else None
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", 2_000_000):
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                texts = part.column(1).to_pylist()
+                good = [k for k, t in enumerate(texts) if has_letter(t)]
+                dense = features([texts[k] for k in good])
+                at = [np.flatnonzero(row) for row in dense]
+                digest = [hashlib.sha256(texts[k].encode()).digest() for k in good]
+                cols = [part.column(0).take(pa.array(good, pa.int64())), part.column(2).take(pa.array(good, pa.int64())), pa.array(digest, pa.binary())]
+                cols += [pa.array([i.astype("<i2").tobytes() for i in at], pa.binary()), pa.array([row[i].astype("<f4").tobytes() for row, i in zip(dense, at, strict=True)], pa.binary())]
+                yield pa.record_batch(cols, names=["doc_id", "lang", "digest", "bucket", "share"])
+
+    picked = some.filter(F.col("k") <= 2 * each).select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang")
+    rows = picked.mapInArrow(count, "doc_id string, lang string, digest binary, bucket binary, share binary").collect()
+    rows = {(r.doc_id or "", bytes(r.digest), r.lang): r for r in rows}
+    rows = [rows[k] for k in sorted(rows)]  # the same order in every run
+    if not rows:
+        return None
+    x = np.zeros((len(rows), 2 * BUCKETS), np.float32)
+    for k, r in enumerate(rows):
+        x[k, np.frombuffer(r.bucket, "<i2")] = np.frombuffer(r.share, "<f4")
+    return Hierarchy(x, [r.lang for r in rows])
 
 
 def identify(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
