@@ -30,7 +30,7 @@ from .common import materialize
 from .graph import components
 
 THRESHOLD, RECALL, SAMPLE, BLOCK = 0.95, 0.9999, 20_000, 4096
-PER_CELL, MOST_CENTROIDS = 48, 256
+PER_CELL, MOST_CENTROIDS = 256, 256
 
 
 class MultiIndex:
