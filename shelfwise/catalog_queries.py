@@ -145,15 +145,6 @@ def folder_jump(spark, d):
     return ordering.folder_offsets(views.placed(orders(spark, d)))
 
 
-@query(f"with {_PLACED}, n as (select count(*) as n from orders) select id, pos from placed where pos % 7 = 0")
-def slideshow_permutation(spark, d):
-    """A walk by a coprime stride reaches every place once: of the places, those it reaches at multiples of seven."""
-    rows = views.placed(orders(spark, d))
-    n = rows.count()
-    stride = views.stride_for(n)
-    walked = views.slideshow(rows, 0, stride, n)
-    return walked.filter(F.pmod(F.col("step") * stride, F.lit(n)) == F.col("pos")).filter("pos % 7 = 0").select("id", "pos")
-
 
 @query(f"with {_PLACED}, n as (select count(*) as n from orders), w as (select s as stride from n, (select unnest(range(1, n + 1)) as s from n) where gcd(s, n) = 1 order by abs(s - round(n * 0.618)), s limit 1), k as (select k, (k * stride) % n as pos from n, w, (select unnest(range(0, n)) as k from n)) select id, pos, k as step from k join placed using (pos)")
 def slideshow_walk(spark, d):
@@ -178,19 +169,29 @@ def year_marks(spark, d):
 
 
 # Aggregates.
+def _described(rows, **given):
+    """``rows`` with the columns that statistics read; those not given are null."""
+    kinds = {"kind": "int", "size": "double", "taken_at": "long", "make": "string", "model": "string", "lens": "string"}
+    return rows.select(*[given.get(c, F.lit(None).cast(t)).alias(c) for c, t in kinds.items()])
+
+
 @query("select count(*) filter (o_orderstatus <> 'F') as photos, count(*) filter (o_orderstatus = 'F') as videos, round(sum(o_totalprice), 2) as bytes, min(o_orderdate) as oldest, max(o_orderdate) as newest from orders")
 def stats_totals(spark, d):
-    return orders(spark, d).agg(F.count_if(F.col("status") != "F").alias("photos"), F.count_if(F.col("status") == "F").alias("videos"), F.round(F.sum("size"), 2).alias("bytes"), F.min("taken_at").alias("oldest"), F.max("taken_at").alias("newest"))
+    rows = orders(spark, d)
+    day = rows.schema["taken_at"].dataType
+    kind = F.when(F.col("status") == "F", 1).when(F.col("status") != "F", 0)
+    totals = views.statistics(_described(rows, kind=kind, size=F.col("size"), taken_at=F.unix_timestamp("taken_at")))["totals"]
+    return totals.select("photos", "videos", F.round("bytes", 2).alias("bytes"), *[F.timestamp_seconds(c).cast(day).alias(c) for c in ("oldest", "newest")])
 
 
 @query("select year(ts)::int as year, count(*) as n from events group by 1")
 def stats_years(spark, d):
-    return table(spark, d, "events").groupBy(F.year("ts").alias("year")).agg(F.count("*").alias("n"))
+    return views.statistics(_described(table(spark, d, "events"), taken_at=F.unix_timestamp("ts")))["years"]
 
 
 @query("select p_brand || ' ' || p_type as name, count(*) as n from part group by 1 order by n desc, name limit 10")
 def stats_top_makers(spark, d):
-    return table(spark, d, "part").groupBy(F.concat_ws(" ", "p_brand", "p_type").alias("name")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(10)
+    return views.statistics(_described(table(spark, d, "part"), make=F.col("p_brand"), model=F.col("p_type")))["cameras"]
 
 
 @query("select least(floor(l_extendedprice / 110000.0 * 64), 63)::int as bin, count(*) as n from lineitem group by 1")
@@ -201,7 +202,7 @@ def histogram_64(spark, d):
 @query("select sum(('0x' || substr(md5(doc_id::varchar || text), 1, 12))::bigint)::double as digest from documents")
 def set_digest(spark, d):
     key = F.conv(F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.col("text"))), 1, 12), 16, 10).cast("long")
-    return table(spark, d, "documents").agg(F.sum(key).cast("double").alias("digest"))
+    return resolve.set_digest(table(spark, d, "documents"), [], key).select(F.col("digest").cast("double").alias("digest"))
 
 
 # Search.
@@ -298,7 +299,8 @@ def album_counts(spark, d):
 def newest_writer_name(spark, d):
     e = table(spark, d, "events")
     seen = e.select(F.col("user_id").cast("string").alias("token"), F.col("event_type").alias("name"), F.struct("ts", "event_id").alias("named_at"))
-    return tags.newest_name(seen.limit(0), seen).select("token", "name", F.col("named_at.ts").alias("at"))
+    even = (F.col("named_at.event_id") % 2).eqNullSafe(0)  # the two sources
+    return tags.newest_name(seen.filter(even), seen.filter(~even)).select("token", "name", F.col("named_at.ts").alias("at"))
 
 
 @query("""select doc_id, case when (old is null and new) or (old is not null and new is not null and old <> new) then new else hid end as hidden, coalesce(new, old) as answer from (
@@ -421,12 +423,6 @@ def leader_clusters(spark, d):
     return resolve.leader_clusters(e, 0.45)
 
 
-@query("select user_id as \"group\", count(*) as n, array_to_string(list(event_id order by event_id)[1:3], ',') as strip from events group by user_id having count(*) >= 2 order by n desc, user_id limit 200")
-def people_page_sections(spark, d):
-    faces = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("person_id"))
-    who = faces.select(F.col("person_id").alias("id")).distinct().select("id", F.lit(None).cast("string").alias("name"), F.lit(False).alias("ignored"))
-    return people.page(faces, who, 3).filter("section = 'unnamed'").select("group", "n", F.array_join(F.col("strip").cast("array<string>"), ",").alias("strip"))
-
 
 @query("with g as (select user_id as \"group\", count(*) as n, array_to_string(list(event_id order by event_id)[1:3], ',') as strip from events group by user_id), s as (select case when n >= 2 then 'unnamed' else 'singles' end as section, * from g) select section, \"group\", n, strip from s qualify row_number() over (partition by section order by n desc, \"group\") <= 200")
 def people_page_all(spark, d):
@@ -441,6 +437,12 @@ def offered_names(spark, d):
     return people.offered_names(table(spark, d, "events").select(F.col("user_id").alias("group"), F.col("event_type").alias("contact")))
 
 
+@query("with n as (select o_custkey as \"group\", o_orderstatus as contact, count(*) as n from orders group by 1, 2) select \"group\", max_by(contact, struct_pack(n := n, c := contact)) as contact from n group by \"group\" having max(n) * 2 > sum(n)")
+def offered_names_of_orders(spark, d):
+    """Groups of which about a third have a name that more than half agree on."""
+    return people.offered_names(orders(spark, d).select(F.col("folder_path").alias("group"), F.col("status").alias("contact")))
+
+
 _BOX = "select p_partkey as id, p_partkey // 4 as item_id, (p_partkey % 7) / 16.0 as \"left\", (p_partkey % 5) / 16.0 as top, (p_partkey % 7) / 16.0 + 0.25 + (p_partkey % 3) / 8.0 as \"right\", (p_partkey % 5) / 16.0 + 0.25 + (p_partkey % 4) / 8.0 as bottom from part"
 
 
@@ -516,12 +518,6 @@ def scalar_geometry(spark, d):
     return p.select(F.col("p_partkey").alias("id"), size["width"].alias("width"), size["height"].alias("height"), S.hex_key(F.col("p_partkey")).alias("hex"), S.crop_parts(packed)["left"].alias("part"))
 
 
-@query("select name, lower_name, case when n = 1 then name else 'scan (' || n || ').jpg' end as out_name, id from (select p_partkey as id, case when p_partkey % 2 = 0 then 'scan.jpg' else 'Scan.JPG' end as name, 'scan.jpg' as lower_name, row_number() over (order by p_partkey) as n from part) where n = 1 or name = 'scan.jpg'")
-def export_names(spark, d):
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 == 0, F.lit("scan.jpg")).otherwise(F.lit("Scan.JPG")).alias("name"))
-    out = media.export_names(p, "name").withColumn("lower_name", F.lower("name"))
-    return out.filter("name = 'scan.jpg' or out_name = name").select("name", "lower_name", "out_name", "id")
-
 
 @query("select name, lower_name, case when n = 1 then name else regexp_replace(name, '[.][^.]*$', '') || ' (' || n || ')' || regexp_extract(name, '[.][^.]*$') end as out_name, id from (select p_partkey as id, case when p_partkey % 2 = 0 then 'scan.jpg' else 'Scan.JPG' end as name, 'scan.jpg' as lower_name, row_number() over (order by p_partkey) as n from part)")
 def export_names_all(spark, d):

@@ -279,6 +279,7 @@ def centroids(vectors: DataFrame, group: str, vector: str) -> DataFrame:
     return parts.groupBy("group").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "s"))), lambda p: p["s"]).alias("v"))
 
 
-def set_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """One number that depends on the set of rows but not on their order."""
-    return rows.agg(F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("digest"))
+def set_digest(rows: DataFrame, columns: list[str], hashed: Column | None = None) -> DataFrame:
+    """One number that depends on the set of rows but not on their order. ``hashed``: another whole number for each row."""
+    each = F.xxhash64(*columns) if hashed is None else hashed
+    return rows.agg(F.sum(each.cast("decimal(38,0)")).alias("digest"))
