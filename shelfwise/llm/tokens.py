@@ -38,6 +38,7 @@ from .common import materialize, new_path, slices
 MAGIC = b"SWTOK001"
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES, LEVEL = 2000, 2048, 1 << 16, 3
 CACHED_WORDS = 500_000
+READ_DOCS, READ_BYTES = 2000, 4 << 20
 END_ID = 2
 
 
@@ -264,6 +265,17 @@ class Shard:
         blob = self.file.read_at(int(self.ends[k]) - start, start)
         return np.frombuffer(self.decompressor.decompress(blob), f"<u{self.width}").astype("<u4")
 
+    def runs(self, most: int = READ_BYTES) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """(first, ids of the documents from there on), all documents in order: one read of about ``most`` bytes a run."""
+        lo = 0
+        while lo < len(self):
+            start = int(self.ends[lo - 1]) if lo else len(MAGIC)
+            hi = max(lo + 1, min(lo + READ_DOCS, int(np.searchsorted(self.ends, start + most, side="right"))))
+            data = memoryview(self.file.read_at(int(self.ends[hi - 1]) - start, start))
+            at = [0, *(self.ends[lo:hi].astype(np.int64) - start).tolist()]
+            yield lo, [np.frombuffer(self.decompressor.decompress(data[i:j]), f"<u{self.width}").astype("<u4") for i, j in zip(at[:-1], at[1:], strict=True)]
+            lo = hi
+
     def find(self, doc_id: int) -> np.ndarray | None:
         known = np.flatnonzero(self.null == 0)
         k = np.searchsorted(self.doc_ids[known], doc_id)
@@ -317,10 +329,10 @@ def _read(manifest: DataFrame, columns, schema: str) -> DataFrame:
             for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 shard = Shard(path)
                 starts = base + np.r_[0, np.cumsum(shard.tokens.astype(np.int64))]
-                for lo in range(0, len(shard), 2000):
-                    hi = min(len(shard), lo + 2000)
+                for lo, ids in shard.runs():
+                    hi = lo + len(ids)
                     doc_ids = [None if shard.null[k] else int(shard.doc_ids[k]) for k in range(lo, hi)]
-                    yield pa.record_batch(columns(doc_ids, starts[lo:hi], [shard.ids(k) for k in range(lo, hi)]), names=names)
+                    yield pa.record_batch(columns(doc_ids, starts[lo:hi], ids), names=names)
 
     placed = manifest.select("path", before.alias("base"))
     return placed.repartition(max(1, manifest.count())).mapInArrow(run, schema)

@@ -75,3 +75,17 @@ def test_one_document_is_read_alone(spark, tmp_path):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert tokens.checks(tokens.write(df, common.new_path(spark, "tokens"))).count() == 0
+
+
+def test_runs_read_what_single_reads_do(spark, tmp_path):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(HARD * 3)], "doc_id long, text string").coalesce(1)
+    paths = [r.path for r in tokens.write(df, f"file://{tmp_path}/shards").collect()]
+    for path in paths:
+        shard = tokens.Shard(path)
+        alone = [shard.ids(k).tolist() for k in range(len(shard))]
+        for most in (1, 50, 1 << 20):
+            runs = list(shard.runs(most))
+            assert [x.tolist() for _, ids in runs for x in ids] == alone
+            assert [lo for lo, _ in runs] == np.r_[0, np.cumsum([len(ids) for _, ids in runs])[:-1]].tolist()
+            assert most > 1 or all(len(ids) == 1 for _, ids in runs)
+    assert sum(len(tokens.Shard(p)) for p in paths) == 3 * len(HARD)
