@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 from math import comb
 
 import numpy as np
@@ -17,6 +17,12 @@ from .ordering import written
 CANDIDATE_CAP = 32
 #: Up to this number of counted edges one task connects them.
 SMALL_EDGES = 200_000
+#: Where a hash would meet more than this share of all others by bands, hashes are compared block by block instead.
+MEET_MOST = 0.01
+#: Hashes of a block: at most where all blocks meet, and where a first forest is made of blocks by themselves.
+BLOCK, FOREST_BLOCK = 65_536, 16_384
+#: Hashes of both sides that are compared at a time, and links that are held before they are handed on.
+STRIP, HELD = (8, 4096), 200_000
 ABSENT = -(2**62)
 
 
@@ -45,6 +51,17 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u > v").distinct()
 
 
+def _hooked(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after edges (a, b) too: of each node the smallest place in its component."""
+    while (label[a] != label[b]).any():
+        x, y = label[a], label[b]
+        np.minimum.at(label, x, y)
+        np.minimum.at(label, y, x)
+        while (label != label[label]).any():
+            label = label[label]
+    return label
+
+
 def _connected_at_once(edges: DataFrame) -> DataFrame:
     """(node, label) of a counted, small table of edges, in one task: trees of smallest nodes, hooked and flattened."""
 
@@ -53,13 +70,7 @@ def _connected_at_once(edges: DataFrame) -> DataFrame:
         if not parts:
             return
         nodes, at = np.unique(np.concatenate([p[c].to_numpy() for c in ("u", "v") for p in parts]), return_inverse=True)
-        (a, b), label = at.reshape(2, -1), np.arange(len(nodes))
-        while (label[a] != label[b]).any():
-            x, y = label[a], label[b]
-            np.minimum.at(label, x, y)
-            np.minimum.at(label, y, x)
-            while (label != label[label]).any():
-                label = label[label]
+        label = _hooked(np.arange(len(nodes)), *at.reshape(2, -1))
         yield pd.DataFrame({"node": nodes, "label": nodes[label]})
 
     kind = edges.schema["u"].dataType.simpleString()
@@ -97,6 +108,12 @@ def band_plan(distance: int, width: int = 64, most: int = 512) -> tuple[list[int
     return [k * width // n for k in range(n + 1)], distance // n
 
 
+def band_share(distance: int, width: int = 64) -> float:
+    """The share of all others that a hash meets by :func:`band_plan`, by chance."""
+    edges, radius = band_plan(distance, width)
+    return sum(sum(comb(w, i) for i in range(radius + 1)) / 2**w for w in np.diff(edges).tolist())
+
+
 def lookalike_candidates(hashes: DataFrame, distance: int) -> DataFrame:
     """(h, h2) of distinct hashes ``h``, h < h2, that are as close as ``distance // bands`` in some band; may repeat."""
     edges, radius = band_plan(distance)
@@ -114,13 +131,152 @@ def lookalike_candidates(hashes: DataFrame, distance: int) -> DataFrame:
 def lookalike_hashes(rows: DataFrame, bits: str, distance: int) -> DataFrame:
     """(h, h2, distance) of distinct hashes, h < h2, that differ in at most ``distance`` bits, exact for every distance.
 
-    Hashes are joined, not rows. Hashes that pair with anything stay out; distance 0 pairs nothing.
+    Hashes are joined, not rows. Hashes that pair with anything stay out; distance 0 pairs nothing. Bands that select too
+    little (:data:`MEET_MOST`) are not used: all hashes are compared then, in blocks.
     """
     hashes = _good(rows, bits, distance).select(F.col(bits).alias("h")).distinct()
+    if band_share(distance) > MEET_MOST:
+        hashes = written(hashes.select("h", F.col("h").alias("name")), "hashes")
+        return _compared(*_all_blocks(hashes, hashes.count()), distance).toDF("h", "h2", "distance")
     close = lookalike_candidates(hashes, distance).withColumn("distance", S.hamming(F.col("h"), F.col("h2")))
     return close.filter(F.col("distance") <= distance).distinct()
 
 
+def _block(blocks: int, salt: int = 0) -> Column:
+    return F.pmod(F.xxhash64("h", F.lit(salt)), F.lit(blocks))
+
+
+def _all_blocks(hashes: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """Tiles in which each two of ``n`` hashes meet once, and their number: blocks with each other and by themselves."""
+    blocks = max(-(-n // BLOCK), min(12, -(-n // 1024)), 1)
+    own, other = F.col("block"), F.col("other")
+    at = hashes.withColumn("block", _block(blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    side = F.when(own == other, 2).when(own < other, 0).otherwise(1)
+    return at.select((F.least(own, other) * blocks + F.greatest(own, other)).alias("tile"), side.alias("side"), *hashes.columns), blocks * (blocks + 1) // 2
+
+
+def _own_blocks(hashes: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """Tiles of blocks by themselves, dealt twice in different ways, and their number."""
+    blocks = max(-(-n // FOREST_BLOCK), 1)
+    tiles = F.explode(F.array(_block(blocks, 1), _block(blocks, 2) + blocks))
+    return hashes.select(tiles.alias("tile"), F.lit(2).alias("side"), *hashes.columns), 2 * blocks
+
+
+def _some_blocks(some: DataFrame, few: int, hashes: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """Tiles in which ``few`` hashes meet all ``n``, and their number."""
+    rows, cols = -(-few // BLOCK), max(-(-n // BLOCK), min(24, -(-n // 1024)), 1)
+    down, across = F.explode(F.sequence(F.lit(0), F.lit(rows - 1))), F.explode(F.sequence(F.lit(0), F.lit(cols - 1)))
+    a = some.withColumn("k", across).select((_block(rows) * cols + F.col("k")).alias("tile"), F.lit(0).alias("side"), *hashes.columns)
+    b = hashes.withColumn("k", down).select((F.col("k") * cols + _block(cols)).alias("tile"), F.lit(1).alias("side"), *hashes.columns)
+    return a.unionByName(b), rows * cols
+
+
+def _by_tile(batches: Iterator[pd.DataFrame]) -> Iterator[list[pd.DataFrame]]:
+    """The three sides of each tile, of batches that are sorted by tile."""
+    held, last = [], None
+    for batch in chain(batches, [None]):
+        for tile, part in [(None, None)] if batch is None else batch.groupby("tile"):
+            if held and tile != last:
+                whole = pd.concat(held)
+                yield [whole[whole["side"] == k] for k in range(3)]
+                held = []
+            last = tile
+            held.append(part)
+
+
+def _close(a: np.ndarray, b: np.ndarray, distance: int, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in ``a`` and ``b`` of hashes as close as ``distance``, and their distances. own: both are the same, and each two meet once."""
+    a, b, (rows, cols) = a.view(np.uint64), b.view(np.uint64), STRIP
+    held, n = [], 0
+    for j in range(0, len(b), cols):
+        part = b[j : j + cols]
+        for i in range(0, min(len(a), j + len(part)) if own else len(a), rows):
+            gap = np.bitwise_count(a[i : i + rows, None] ^ part).ravel()
+            at = np.flatnonzero(gap <= distance)
+            if own:
+                at = at[i + at // len(part) < j + at % len(part)]
+            if len(at):
+                held.append((i + at // len(part), j + at % len(part), gap[at]))
+                n += len(at)
+                if n >= HELD:
+                    yield tuple(map(np.concatenate, zip(*held)))
+                    held, n = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
+def _expanded(hits: np.ndarray, other: np.ndarray, starts: list[np.ndarray], sizes: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of classes that met, places of all pairs of their rows and the number of the hit, some at a time."""
+    n = sizes[0][hits] * sizes[1][other]
+    ends = np.cumsum(n)
+    for low in range(0, int(n.sum()), HELD):
+        at = np.arange(low, min(low + HELD, int(ends[-1])))
+        hit = np.searchsorted(ends, at, "right")
+        at, wide = at - (ends - n)[hit], sizes[1][other[hit]]
+        yield starts[0][hits[hit]] + at // wide, starts[1][other[hit]] + at % wide, hit
+
+
+def _listed(a: pd.DataFrame, b: pd.DataFrame, distance: int, own: bool) -> Iterator[pd.DataFrame]:
+    """(a, b, distance) of the rows of a tile: distinct hashes are compared, and rows of one hash are close too."""
+    sides = [x.sort_values("h") for x in ((a,) if own else (a, b))] * (2 if own else 1)
+    names = [x["name"].to_numpy() for x in sides]
+    (x, *one), (y, *two) = [np.unique(x["h"].to_numpy(), return_index=True, return_counts=True) for x in sides]
+    starts, sizes = zip(one, two)
+    found = _close(x, y, distance, own)
+    if own and (again := np.flatnonzero(sizes[0] > 1)).size:
+        found = chain([(again, again, np.zeros(len(again), np.int32))], found)
+    for i, j, gap in found:
+        for p, q, hit in _expanded(i, j, starts, sizes):
+            good = (i[hit] != j[hit]) | (p < q) if own else slice(None)
+            p, q = names[0][p[good]], names[1][q[good]]
+            yield pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q), "distance": gap[hit[good]].astype(np.int32)})
+
+
+def _forest(a: pd.DataFrame, b: pd.DataFrame, distance: int, own: bool) -> Iterator[pd.DataFrame]:
+    """(a, b): fewer edges than a tile has hashes, with the components of all of its links."""
+    names = np.concatenate([x["name"].to_numpy() for x in ((a,) if own else (a, b))])
+    label = np.arange(len(names))
+    for i, j, _ in _close(a["h"].to_numpy(), b["h"].to_numpy(), distance, own):
+        label = _hooked(label, i, j if own else len(a) + j)
+    at = np.flatnonzero(label != np.arange(len(names)))
+    yield pd.DataFrame({"a": names[label[at]], "b": names[at]})
+
+
+def _compared(dealt: DataFrame, tiles: int, distance: int, linked: bool = False) -> DataFrame:
+    """(a, b, distance), a < b: names of close rows (h, name) that meet in tiles (tile, side). Side 0 meets side 1, side 2 itself.
+
+    Rows of one hash are in one block, and so in the same tiles. ``linked``: (a, b) of a forest of each tile instead.
+    """
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for a, b, own in _by_tile(batches):
+            a, b = (own, own) if len(own) else (a, b)
+            yield from (_forest if linked else _listed)(a, b, distance, len(own) > 0)
+
+    kind = dealt.schema["name"].dataType.simpleString()
+    by_tile = dealt.repartition(min(tiles, 10_000), "tile").sortWithinPartitions("tile")
+    return by_tile.mapInPandas(work, f"a {kind}, b {kind}" + ", distance int" * (not linked))
+
+
+def _groups_by_blocks(first: DataFrame, copies: DataFrame, distance: int) -> DataFrame:
+    """(node, label) of hashes (h, name) and edges (a, b) to their copies, where hashes that are linked by others need not meet.
+
+    Blocks by themselves make a forest first. Only hashes outside of its largest component meet all others then.
+    """
+    first = written(first, "hashes")
+    n = first.count()
+    if n <= FOREST_BLOCK:
+        return connected(_compared(*_all_blocks(first, n), distance, True).unionByName(copies))
+    labels = written(connected(_compared(*_own_blocks(first, n), distance, True).unionByName(copies)), "labels")
+    most = labels.groupBy("label").count().orderBy(F.desc("count"), "label").limit(1).select("label")
+    rest = written(first.join(labels.join(F.broadcast(most), "label").select(F.col("node").alias("name")), "name", "left_anti").select("h", "name"), "rest")  # one row
+    few = rest.count()
+    if not few:
+        return labels
+    more = _compared(*(_all_blocks(first, n) if 2 * few > n else _some_blocks(rest, few, first, n)), distance, True)
+    return connected(labels.toDF("b", "a").unionByName(more))
+
+
 def _good(rows: DataFrame, bits: str, distance: int) -> DataFrame:
     return rows.filter(F.col(bits).isNotNull() & ~S.matches_anything(F.col(bits), distance)) if distance > 0 else rows.limit(0)
 
@@ -149,15 +305,19 @@ def lookalike_groups(rows: DataFrame, key: str, bits: str, distance: int, same:
 
     ``same`` is a condition on columns of both rows, prefixed ``a_`` and ``b_``, that must also hold.
     """
-    close = lookalike_hashes(rows, bits, distance)
     if same is None:  # rows of one hash are look-alikes by themselves; only hashes need connecting
         first = rows.filter(F.col(bits).isNotNull() & ~S.matches_anything(F.col(bits), distance)).groupBy(F.col(bits).alias("h")).agg(F.min(key).alias("lead"))
+        if distance > 0 and band_share(distance) > MEET_MOST:
+            copies = rows.select(F.col(bits).alias("h"), F.col(key).alias("b")).join(first, "h").select(F.col("lead").alias("a"), "b").filter("a <> b")
+            return _groups_by_blocks(first.select("h", F.col("lead").alias("name")), copies, distance).select(F.col("node").alias("key"), F.col("label").alias("group"))
+        close = lookalike_hashes(rows, bits, distance)
         one, two = first.toDF("h", "lead1"), first.toDF("h2", "lead2")
         edges = close.join(one, "h").join(two, "h2").select(F.col("lead1").alias("a"), F.col("lead2").alias("b"))
         own = rows.select(F.col(bits).alias("h"), F.col(key).alias("b")).join(one, "h").select(F.col("lead1").alias("a"), "b")
         return connected(edges.unionByName(own)).select(F.col("node").alias("key"), F.col("label").alias("group"))
     a = rows.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns])
     b = rows.select(*[F.col(c).alias(f"b_{c}") for c in rows.columns])
+    close = lookalike_hashes(rows, bits, distance)
     pairs = close.select("h", "h2").join(a, F.col("h") == F.col(f"a_{bits}")).join(b, F.col("h2") == F.col(f"b_{bits}"))
     equal = a.join(b, (F.col(f"a_{bits}") == F.col(f"b_{bits}")) & (F.col(f"a_{key}") < F.col(f"b_{key}")))
     edges = pairs.select(*a.columns, *b.columns).unionByName(equal).filter(same).select(F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b"))

@@ -1,6 +1,7 @@
 from datetime import datetime
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,6 +165,53 @@ def test_lookalike_pairs_hold_rows_of_one_hash(spark):
     assert sorted(map(tuple, resolve.lookalike_pairs(df, "id", "h", 7, odd).collect())) == [p for p in want if (p[0] + p[1]) % 2]
 
 
+def _far_rows(linked):
+    """Hashes with copies; where ``linked``, most are near one hash, else few have a look-alike at distance 18."""
+    rng = np.random.default_rng(8)
+    h = rng.integers(-(2**63), 2**63, 1300, dtype=np.int64)
+    if linked:
+        h[1:900] = [h[0] ^ np.int64(sum(1 << int(b) for b in rng.choice(63, int(rng.integers(0, 9)), replace=False))) for _ in range(899)]
+    h = np.concatenate([h, h[::40], h[::40], h[-1:].repeat(9)])
+    ids = rng.permutation(len(h)) * 3
+    gap = np.bitwise_count(h.view(np.uint64)[:, None] ^ h.view(np.uint64))
+    pairs = [(int(min(ids[i], ids[j])), int(max(ids[i], ids[j])), int(gap[i, j])) for i, j in zip(*np.nonzero(gap <= 18)) if i < j]
+    return list(zip(ids.tolist(), h.tolist())), sorted(pairs)
+
+
+@pytest.mark.parametrize("linked", [True, False])
+def test_far_lookalikes_are_compared_in_blocks(spark, monkeypatch, linked):
+    """Where bands select little, no candidates are joined; blocks find every pair and group, copies too."""
+    monkeypatch.setattr(resolve, "lookalike_candidates", lambda *_: pytest.fail("candidates are near all pairs"))
+    monkeypatch.setattr(resolve, "BLOCK", 200)
+    monkeypatch.setattr(resolve, "FOREST_BLOCK", 400)
+    rows, want = _far_rows(linked)
+    df = spark.createDataFrame(rows, "id long, h long").repartition(3)
+    assert sorted(map(tuple, resolve.lookalike_pairs(df, "id", "h", 18).collect())) == want
+    odd = (F.col("a_id") + F.col("b_id")) % 2 == 1
+    assert sorted(map(tuple, resolve.lookalike_pairs(df, "id", "h", 18, odd).collect())) == [p for p in want if (p[0] + p[1]) % 2]
+    least = {i: i for p in want for i in p[:2]}
+    while any(least[a] != least[b] for a, b, _ in want):
+        for a, b, _ in want:
+            least[a] = least[b] = min(least[a], least[b])
+    assert len(set(least.values())) > 1
+    assert sorted(map(tuple, resolve.lookalike_groups(df, "id", "h", 18).collect())) == sorted(least.items())
+    assert sorted(map(tuple, resolve.lookalike_groups(df, "id", "h", 18, F.col("a_id") >= 0).collect())) == sorted(least.items())
+
+
+def test_tiles_are_listed_some_pairs_at_a_time(monkeypatch):
+    monkeypatch.setattr(resolve, "HELD", 7)
+    monkeypatch.setattr(resolve, "STRIP", (2, 5))
+    rows, want = _far_rows(True)
+    rows = rows[:60] + rows[-9:]
+    want = [p for p in want if {p[0], p[1]} <= {i for i, _ in rows}]
+    tile = pd.DataFrame(rows, columns=["name", "h"])
+    parts = list(resolve._listed(tile, tile, 18, True))
+    assert max(map(len, parts)) <= 7 and sorted(map(tuple, pd.concat(parts).to_numpy().tolist())) == want
+    a, b = tile[tile["h"] % 2 == 0], tile[tile["h"] % 2 != 0]
+    h = {i: x % 2 for i, x in rows}
+    assert sorted(map(tuple, pd.concat(list(resolve._listed(a, b, 18, False))).to_numpy().tolist())) == [p for p in want if h[p[0]] != h[p[1]]]
+
+
 @pytest.mark.parametrize("small", [0, resolve.SMALL_EDGES])
 def test_connected_settles_on_long_chains(spark, small):
     chain = [1, *range(300, 1, -1)]  # the smallest node's label must travel the whole way
