@@ -289,6 +289,9 @@ def lookalike_pairs(rows: DataFrame, key: str, bits: str, distance: int, confirm
     says the same in n rows.
     """
     good = _good(rows, bits, distance)
+    if confirm is None and band_share(distance) > MEET_MOST:
+        good = written(good.select(F.col(bits).alias("h"), F.col(key).alias("name")), "hashes")
+        return _compared(*_all_blocks(good, good.count()), distance)
     shared = good.groupBy(F.col(bits).alias("h")).count().filter("count > 1").select("h", F.col("h").alias("h2"), F.lit(0).alias("distance"))
     close = lookalike_hashes(rows, bits, distance).unionByName(shared)
     a = good.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns])
