@@ -143,7 +143,8 @@ def lookalike_hashes(rows: DataFrame, bits: str, distance: int) -> DataFrame:
 
 
 def _block(blocks: int, salt: int = 0) -> Column:
-    return F.pmod(F.xxhash64("h", F.lit(salt)), F.lit(blocks))
+    """By name, so that rows of one hash spread over all blocks."""
+    return F.pmod(F.xxhash64("name", F.lit(salt)), F.lit(blocks))
 
 
 def _all_blocks(hashes: DataFrame, n: int) -> tuple[DataFrame, int]:
@@ -228,8 +229,9 @@ def _listed(a: pd.DataFrame, b: pd.DataFrame, distance: int, own: bool) -> Itera
     for i, j, gap in found:
         for p, q, hit in _expanded(i, j, starts, sizes):
             good = (i[hit] != j[hit]) | (p < q) if own else slice(None)
-            p, q = names[0][p[good]], names[1][q[good]]
-            yield pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q), "distance": gap[hit[good]].astype(np.int32)})
+            p, q, hit = names[0][p[good]], names[1][q[good]], hit[good]
+            other = p != q
+            yield pd.DataFrame({"a": np.minimum(p, q)[other], "b": np.maximum(p, q)[other], "distance": gap[hit[other]].astype(np.int32)})
 
 
 def _forest(a: pd.DataFrame, b: pd.DataFrame, distance: int, own: bool) -> Iterator[pd.DataFrame]:
@@ -245,7 +247,7 @@ def _forest(a: pd.DataFrame, b: pd.DataFrame, distance: int, own: bool) -> Itera
 def _compared(dealt: DataFrame, tiles: int, distance: int, linked: bool = False) -> DataFrame:
     """(a, b, distance), a < b: names of close rows (h, name) that meet in tiles (tile, side). Side 0 meets side 1, side 2 itself.
 
-    Rows of one hash are in one block, and so in the same tiles. ``linked``: (a, b) of a forest of each tile instead.
+    ``linked``: (a, b) of a forest of each tile instead.
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

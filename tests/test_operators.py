@@ -198,6 +198,14 @@ def test_far_lookalikes_are_compared_in_blocks(spark, monkeypatch, linked):
     assert sorted(map(tuple, resolve.lookalike_groups(df, "id", "h", 18, F.col("a_id") >= 0).collect())) == sorted(least.items())
 
 
+def test_copies_spread_over_tiles(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "BLOCK", 100)
+    rows = spark.range(1000).select(F.lit(5).cast("long").alias("h"), F.col("id").alias("name"))
+    dealt, tiles = resolve._all_blocks(rows, 1000)
+    sizes = [r["count"] for r in dealt.groupBy("tile").count().collect()]
+    assert len(sizes) == tiles == 55 and max(sizes) < 400
+
+
 def test_tiles_are_listed_some_pairs_at_a_time(monkeypatch):
     monkeypatch.setattr(resolve, "HELD", 7)
     monkeypatch.setattr(resolve, "STRIP", (2, 5))
